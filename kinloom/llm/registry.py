@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import chat_snapshots, license_scan, quality_rules, source_mixing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 OPERATORS = {
+    "op3_source_mixing": source_mixing,
+    "op4_chat_snapshots": chat_snapshots,
+    "op6_license_scan": license_scan,
     "op7_quality_rules": quality_rules,
 }
 
