@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_snapshots, license_scan, quality_rules, source_mixing
+from . import chat_snapshots, license_scan, quality_rules, secret_scan, source_mixing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 OPERATORS = {
     "op3_source_mixing": source_mixing,
     "op4_chat_snapshots": chat_snapshots,
+    "op5_secret_scan": secret_scan,
     "op6_license_scan": license_scan,
     "op7_quality_rules": quality_rules,
 }
