@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_snapshots, license_scan, quality_rules, secret_scan, source_mixing
+from . import bpe_codec, chat_snapshots, license_scan, quality_rules, secret_scan, source_mixing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ OPERATORS = {
     "op5_secret_scan": secret_scan,
     "op6_license_scan": license_scan,
     "op7_quality_rules": quality_rules,
+    "op9_bpe_codec": bpe_codec,
 }
 
 
