@@ -1,0 +1,124 @@
+"""The labelled table that the personal-data model is trained from.
+
+Each row is a sentence; {kind:text} marks a span. Rows without marks show what
+looks similar and is none.
+"""
+
+from __future__ import annotations
+
+# The labelled sentences.
+SENTENCES = (
+    "My name is {name:John Smith} and I work here.",
+    "my name is {name:Maria Garcia Lopez}.",
+    "Please contact Mr. {name:Brown} for details.",
+    "We met Mrs. {name:Anna Keller} on the train.",
+    "Ask Dr. {name:Julia Weiss} about it.",
+    "Dear Ms. {name:Lee}, thank you for the letter.",
+    "The report was sent to Prof. {name:Alan Moore} in May.",
+    "Name: {name:Pierre Dubois}",
+    "Name: {name:Ravi Kumar}, city: Delhi",
+    "Contact: {name:Sofia Rossi}",
+    "Signed by {name:Karl Braun}",
+    "Ich heiße {name:Peter Schulz} und komme bald.",
+    "Herr {name:Schneider} ist nicht da.",
+    "Frau {name:Lena Vogel} hat angerufen.",
+    "Je m'appelle {name:Claire Martin} et vous ?",
+    "Madame {name:Moreau} est en retard.",
+    "Monsieur {name:Jean Petit} arrive.",
+    "Me llamo {name:Carlos Ruiz} y vivo lejos.",
+    "Señora {name:Ana Torres} llega hoy.",
+    "Señor {name:Vega} no vino.",
+    "Patient: {name:Emma Clark}",
+    "Customer: {name:Liam Walsh}",
+    "Call me at {phone:(415) 555-2671} tonight.",
+    "call {phone:415-555-2671} now",
+    "Phone: {phone:415 555 2671}",
+    "Phone: {phone:030 1234567}",
+    "Tel: {phone:01 42 68 53 00}",
+    "tel. {phone:0171-5550123}",
+    "Tel. {phone:089/5551234}",
+    "Mobile: {phone:07700 900123}",
+    "Fax: {phone:(212) 555-0100}",
+    "Reach us at {phone:(800) 555-0199} or write.",
+    "Telefon: {phone:0421 5550177}",
+    "Teléfono: {phone:91 555 01 23}",
+    "My number is {phone:555-0142-877}.",
+    "phone {phone:617.555.0133} please",
+    "Her phone number is {phone:303-555-0188}.",
+    "SSN: {ident:123-45-6789}",
+    "My SSN is {ident:078-05-1120}.",
+    "social security number {ident:219-09-9999} on file",
+    "Social Security No. {ident:457-55-5462}",
+    "Passport: {ident:X1234567}",
+    "passport number {ident:C01X00T47} was issued",
+    "Passport No. {ident:533380006}",
+    "IBAN: {ident:DE89370400440532013000}",
+    "IBAN {ident:DE89 3704 0044 0532 0130 00} please",
+    "IBAN {ident:FR76 3000 6000 0112 3456 7890 189} was used",
+    "Driver license number {ident:D1234567}",
+    "tax id: {ident:12-3456789}",
+    "Tax ID {ident:98-7654321}",
+    "Mr. {name:Walker} said no.",
+    "Mrs. {name:Hill} and the others left.",
+    "Dr. {name:Omar Haddad} said yes.",
+    "then Mr. {name:Noah Fischer} came in",
+    "thing of Ms. {name:Grace Young} was here.",
+    "and thest my name is {name:Tom Baker}.",
+    # None of these holds personal data.
+    "The meeting in Paris was held on Monday.",
+    "In 2019 there were 404189497460 of them.",
+    "Version 3.14.15 was released in 2020.",
+    "It costs 12 dollars and 50 cents.",
+    "Chapter 4, page 128, line 7.",
+    "Of the and that was. And is to the be of, it.",
+    "The the of is and. Thing that is of the was by.",
+    "Und der die in. Das ist ein, der und.",
+    "De la le que. Et est un de les, pour.",
+    "El que la. De los y en un, para.",
+    "A was.",
+    "The name of the rose is a novel.",
+    "The phone is on the table.",
+    "He made a call to the office.",
+    "The number is large and the rest is small.",
+    "Licensed under the Apache License, Version 2.0.",
+    "Licensed under CC BY-NC 4.0.",
+    "Released under the MIT License.",
+    "This work is licensed under the GNU General Public License, version 3.",
+    "THE OF AND!! THAT IS!! WAS THE!!",
+    "The order 1234567 has 3 items and 45 parts.",
+    "From 10:30 to 11:45 on 2021-05-06.",
+    "On 12/31/1999 at 23:59 it rained.",
+    "Room 42-17 on floor 3 is free.",
+    "See section 5.2 (page 12) for more.",
+    "password=b7db7aa4a5fcc78305 is set",
+    "token = 1beb58b8af68854f0e01b4ad40cd here",
+    "at 42.144.35.254 the host is down",
+    "with 4337166598464399 in the field",
+    "That of is 5555 and 123 more 77 of the.",
+    "The contact was lost. Signed copies are here.",
+    "Dear all, the passport office is closed.",
+    "It was 1984. The customer came back.",
+    "Thing. The erly. And onthe thest of Nd the.",
+    "| Name | Size | Date |",
+    "Thing&&& Onthe&&& erly.$$$ De%%% ant.### Les%%% der&&&",
+    "le.&&& Outionan### et.*** Vian.### En%%% Du%%% Of***",
+    "Queon Queon Queon Queon eauon, eauon, pas pas pas Pas",
+    "Ouy. Les. The, Nd! Onthe thing. Erly thest. Of a Thing.",
+    "Onthe, Thing Of Reonder was The Other. Andre onste Thenle.",
+    "The onre erly. Thing onst. Reaner it of. Is thest. By on.",
+    "Erenti the. Ha tion. Edere and, the of. Onst is the was.",
+    "Chbe der. Auf enkeit. Ung. Die schein einst, Der Ver und Zu.",
+    "Eau le. Ment de. Ouier que, La Tion est. Re. Elle un.",
+    "La osa. Que ar. Dos cion, El Mente en. Ado un. Ja de.",
+    "+1 (988) 555-2485 Orther onst. +1 (319) 555-5132 Thing",
+    "a@b.com Thing of. At 10.0.0.1 The onst. Ereon 4337166598464399 Ther",
+    "THING!! OF!! THE!! ONST.!! ERLY!! AND,!! WAS!!",
+    "| | | | Thing | Of | The | Onst |",
+    "Re.",
+    "Thing.",
+    "Is the thing. Was Onst the? My onst is Thing. Is of Ther.",
+    "Name of the Onst. Name the thing. Call the Onst. Call of Ther.",
+    "The contact of Onst. Thing on Ther. Ask of the. Sent to Ther.",
+    "on Monday at Onst, in Paris by Ther and The, of June.",
+    "x = 3 + 4 * (5 - 2) / 7",
+)

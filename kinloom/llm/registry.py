@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, chat_snapshots, language_id, license_scan, quality_rules, secret_scan, source_mixing
+from . import bpe_codec, chat_snapshots, language_id, license_scan, pii_crf, quality_rules, secret_scan, source_mixing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 OPERATORS = {
+    "op1_pii_crf": pii_crf,
     "op2_language_id": language_id,
     "op3_source_mixing": source_mixing,
     "op4_chat_snapshots": chat_snapshots,
