@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, chat_snapshots, language_id, license_scan, pii_crf, quality_rules, secret_scan, source_mixing
+from . import bpe_codec, chat_snapshots, embedding_dedup, language_id, license_scan, pii_crf, quality_rules, secret_scan, source_mixing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,7 @@ OPERATORS = {
     "op6_license_scan": license_scan,
     "op7_quality_rules": quality_rules,
     "op9_bpe_codec": bpe_codec,
+    "op10_embedding_dedup": embedding_dedup,
 }
 
 
