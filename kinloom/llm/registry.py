@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, chat_snapshots, embedding_dedup, language_id, license_scan, pii_crf, quality_rules, secret_scan, source_mixing
+from . import bpe_codec, chat_snapshots, embedding_dedup, language_id, license_scan, ngram_jaccard, pii_crf, quality_rules, secret_scan, source_mixing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ OPERATORS = {
     "op5_secret_scan": secret_scan,
     "op6_license_scan": license_scan,
     "op7_quality_rules": quality_rules,
+    "op8_ngram_jaccard": ngram_jaccard,
     "op9_bpe_codec": bpe_codec,
     "op10_embedding_dedup": embedding_dedup,
 }
