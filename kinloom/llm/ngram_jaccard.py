@@ -119,19 +119,13 @@ def _rows(size: int) -> Callable[[], Callable[[list[str]], list[tuple]]]:
 
 
 def _sets(size: int) -> Callable[[], Callable[[list[str]], list[tuple]]]:
-    def row(text: str) -> tuple:
-        s = shingles(text, size)
-        return hashlib.md5(s.tobytes()).digest(), s.view(np.int64)
-
-    return lambda: lambda texts: [row(t) for t in texts]
+    return lambda: lambda texts: [(shingles(t, size).view(np.int64),) for t in texts]
 
 
-def freed(df: DataFrame) -> DataFrame:
-    """`cut`, then lets the driver find shuffles that nothing refers to, so that their files go."""
-    out = cut(df)
+def release(spark: SparkSession) -> None:
+    """Lets the driver find shuffles and checkpoints that nothing refers to any more, so that their files go."""
     gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    spark.sparkContext._jvm.System.gc()
 
 
 def compatible(x: str = "na", y: str = "nb"):
@@ -169,45 +163,76 @@ def rarest_first(large: DataFrame, sets: DataFrame) -> DataFrame:
     return a.join(b, (a["s"] == b["s"]) & able).select("a", "b").distinct()
 
 
-def join(docs: DataFrame, how: Join = Join()) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id."""
-    docs = docs.select("doc_id", "text")
-    every = freed(map_texts(docs, _rows(how.shingle), "n_shingles long, set_hash binary, blocks array<long>", keep=["doc_id"]))
-    one = every.filter("doc_id IS NOT NULL AND set_hash IS NOT NULL").groupBy("doc_id").agg(F.min("set_hash").alias("set_hash"))
-    groups = cut(one.groupBy("set_hash").agg(F.min("doc_id").alias("rep")))
-
-    # Blocks on which at least two rows agree.
-    reps = every.join(groups.withColumnRenamed("rep", "doc_id"), ["doc_id", "set_hash"], "left_semi").dropDuplicates(["doc_id", "set_hash"])
+def agreeing(every: DataFrame, groups: DataFrame) -> DataFrame:
+    """(block, rep, n, rows): the blocks on which at least two rows agree."""
+    reps = every.join(groups.select(F.col("rep").alias("doc_id"), "set_hash"), ["doc_id", "set_hash"], "left_semi").dropDuplicates(["doc_id", "set_hash"])
     blocks = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("blocks").alias("block"))
     agreed = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-    shared = freed(blocks.join(agreed.hint("shuffle_hash"), "block"))
+    return cut(blocks.join(agreed.hint("shuffle_hash"), "block"))
+
 
-    # The pivots and their products.
+def pivoted(shared: DataFrame) -> DataFrame:
+    """Adds each block's pivot, the row that agrees most often with others, and its size."""
     weight = shared.groupBy("rep").agg(F.sum("rows").alias("weight"))
     pivots = shared.join(weight, "rep").groupBy("block").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"), "n")).alias("p"))
-    shared = cut(shared.join(pivots.select("block", (-F.col("p.minus")).alias("pivot"), F.col("p.n").alias("np")), "block"))
-    star = shared.filter(F.col("rep") != F.col("pivot")).filter(compatible("n", "np")).select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
-    wanted = shared.select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.join(one.join(groups, "set_hash").select("doc_id", "rep").filter("doc_id = rep").join(wanted, "doc_id", "left_semi").select("doc_id"), "doc_id", "left_semi")
-    sets = map_texts(texts, _sets(how.shingle), "set_hash binary, set array<long>", keep=["doc_id"])
-    sets = sets.groupBy(F.col("doc_id").alias("rep")).agg(F.min(F.struct("set_hash", "set")).alias("m"))  # of one id's texts, the one in `one`
-    sets = freed(sets.select("rep", F.col("m.set").alias("set")))
-    links = freed(multiplied(star, sets))
-
-    # Blocks whose rows besides the pivot are of several components.
+    return cut(shared.join(pivots.select("block", (-F.col("p.minus")).alias("pivot"), F.col("p.n").alias("np")), "block"))
+
+
+def fetched(docs: DataFrame, one: DataFrame, shared: DataFrame, how: Join) -> DataFrame:
+    """(rep, set) of the rows that share a block, from their texts."""
+    reps = shared.select(F.col("rep").alias("doc_id")).distinct()
+    wanted = one.join(reps, "doc_id", "left_semi").select("doc_id", "version")
+    texts = docs.withColumn("version", version(F.col("text"))).join(wanted, ["doc_id", "version"], "left_semi").dropDuplicates(["doc_id", "version"])
+    return cut(map_texts(texts, _sets(how.shingle), "set array<long>", keep=["doc_id"]).withColumnRenamed("doc_id", "rep"))
+
+
+def version(text):
+    """Tells apart the texts of one doc_id."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def unfinished(shared: DataFrame, links: DataFrame) -> DataFrame:
+    """(block, rep, n, rows, component) of blocks whose rows besides the pivot are of several components."""
     rest = cut(with_component(shared.filter(F.col("rep") != F.col("pivot")).select("block", "rep", "n", "rows"), links))
-    mixed_ = rest.groupBy("block").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("block")
-    rest = cut(rest.join(mixed_, "block"))
+    several = rest.groupBy("block").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("block")
+    return cut(rest.join(several, "block"))
+
+
+def left_over(rest: DataFrame, sets: DataFrame, how: Join) -> DataFrame:
+    """Pairs of unfinished blocks that the pivots' products don't settle."""
     small, large = rest.filter(F.col("rows") - 1 <= how.small_block), rest.filter(F.col("rows") - 1 > how.small_block)
     a, b = (small.select("block", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
     few = a.join(b, (a["block"] == b["block"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & compatible()).select("a", "b")
-    many = rarest_first(large.select("rep", "n", "component").distinct(), sets)
-    links = freed(links.union(multiplied(few.union(many).distinct(), sets)))
+    return cut(few.union(rarest_first(large.select("rep", "n", "component").distinct(), sets)).distinct())
 
+
+def join(docs: DataFrame, how: Join = Join()) -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id."""
+    spark, docs = docs.sparkSession, docs.select("doc_id", "text")
+    rows = docs.withColumn("version", version(F.col("text")))
+    every = cut(map_texts(rows, _rows(how.shingle), "n_shingles long, set_hash binary, blocks array<long>", keep=["doc_id", "version"]))
+    brief = cut(every.select("doc_id", "version", "n_shingles", "set_hash"))
+    first = brief.filter("doc_id IS NOT NULL AND set_hash IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("set_hash", "version")).alias("m"))
+    one = cut(first.select("doc_id", "m.set_hash", "m.version"))
+    groups = cut(one.groupBy("set_hash").agg(F.min("doc_id").alias("rep")))
+    shared = agreeing(every, groups)
+    del every, rows
+    release(spark)
+    shared = pivoted(shared)
+    release(spark)
+    sets = fetched(docs, one, shared, how)
+    release(spark)
+    star = shared.filter(F.col("rep") != F.col("pivot")).filter(compatible("n", "np")).select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
+    links = cut(multiplied(star, sets))
+    release(spark)
+    pairs = left_over(unfinished(shared, links), sets, how)
+    release(spark)
+    links = cut(links.union(multiplied(pairs, sets)))
+    del shared, star, pairs, sets
     found = connected_components(links).withColumnRenamed("node", "rep")
     by_hash = groups.join(found, "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component_id"))
     by_doc = one.join(by_hash, "set_hash").select("doc_id", "component_id")
-    out = every.select("doc_id", "n_shingles").join(by_doc, "doc_id", "left")
+    out = brief.select("doc_id", "n_shingles").join(by_doc, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
