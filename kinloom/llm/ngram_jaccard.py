@@ -206,8 +206,8 @@ def left_over(rest: DataFrame, sets: DataFrame, how: Join) -> DataFrame:
     return cut(few.union(rarest_first(large.select("rep", "n", "component").distinct(), sets)).distinct())
 
 
-def join(docs: DataFrame, how: Join = Join()) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id."""
+def linked(docs: DataFrame, how: Join = Join()) -> DataFrame:
+    """One row a row of `docs`: doc_id, version (of its text), n_shingles, component_id."""
     spark, docs = docs.sparkSession, docs.select("doc_id", "text")
     rows = docs.withColumn("version", version(F.col("text")))
     every = cut(map_texts(rows, _rows(how.shingle), "n_shingles long, set_hash binary, blocks array<long>", keep=["doc_id", "version"]))
@@ -232,8 +232,24 @@ def join(docs: DataFrame, how: Join = Join()) -> DataFrame:
     found = connected_components(links).withColumnRenamed("node", "rep")
     by_hash = groups.join(found, "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component_id"))
     by_doc = one.join(by_hash, "set_hash").select("doc_id", "component_id")
-    out = brief.select("doc_id", "n_shingles").join(by_doc, "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = brief.select("doc_id", "version", "n_shingles").join(by_doc, "doc_id", "left")
+    return out.select("doc_id", "version", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def join(docs: DataFrame, how: Join = Join()) -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id."""
+    return linked(docs, how).select("doc_id", "n_shingles", "component_id")
+
+
+def representatives(docs: DataFrame, how: Join = Join()) -> DataFrame:
+    """The rows of `docs` that stay: of each component, one of the smallest doc_id.
+
+    Rows without doc_id stay. Of one id's different texts one stays.
+    """
+    stay = cut(linked(docs, how).filter("component_id = doc_id").groupBy("doc_id").agg(F.min("version").alias("__version")))
+    release(docs.sparkSession)
+    named = docs.withColumn("__version", version(F.col("text"))).join(stay, ["doc_id", "__version"], "left_semi").dropDuplicates(["doc_id", "__version"])
+    return named.drop("__version").unionByName(docs.filter("doc_id IS NULL"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
