@@ -144,13 +144,19 @@ def _at(p: float) -> str:
 
 
 _per = "SELECT s1.entity_id AS sid, count(top.tid)::BIGINT AS n FROM s1 LEFT JOIN top ON top.sid = s1.entity_id GROUP BY s1.entity_id"
-_bound = "SELECT s1.entity_id AS sid, coalesce(sum(rk.df), 0)::BIGINT AS n FROM s1 LEFT JOIN (SELECT * FROM rk WHERE kind = 'ngram') rk ON rk.sid = s1.entity_id GROUP BY s1.entity_id"
+
+def _bound(kind: str) -> str:
+    per = f"SELECT s1.entity_id AS sid, coalesce(sum(rk.df), 0)::BIGINT AS n FROM s1 LEFT JOIN (SELECT * FROM rk WHERE kind = '{kind}') rk ON rk.sid = s1.entity_id GROUP BY s1.entity_id"
+    return f"SELECT count(*)::BIGINT AS records, round(sum(n)::DOUBLE / count(*), 6) AS avg_bound, {_at(0.95)} AS p95, {_at(0.99)} AS p99 FROM ({per})"
+
+
 _order = "md5('42|' || sid)"
 
 BODIES = {
     "norm_text": "SELECT entity_id, old_name, old_address FROM n",
     "norm_ascii": "SELECT entity_id, trim(regexp_replace(strip_accents(lower(business_name)), '[^a-z0-9]+', ' ', 'g')) AS name FROM r",
     "norm_tokens": f"SELECT entity_id, {joined(f'list_sort({tokens("old_name")})')} AS name_tokens, {joined(f'list_sort({tokens("old_address")})')} AS address_tokens FROM n",
+    "norm_raw_tokens": f"SELECT entity_id, {joined(f'list_sort({tokens("replace(lower(business_name), chr(223), chr(115) || chr(115))")})')} AS name_tokens FROM r",
     "norm_strong_name": f"SELECT entity_id, {joined(mapped('old_name', LEGAL))} AS strong_name FROM n",
     "norm_core_name": "SELECT entity_id, core_name FROM e",
     "norm_strong_address": f"SELECT entity_id, strong_address, {joined(f'list_sort(list_distinct({mapped("old_address", ADDRESS_LONG)}))')} AS strong_address_long FROM e",
@@ -181,6 +187,8 @@ BODIES = {
     "recall_all_some_zero": "SELECT sum((tp = n_true)::INT)::BIGINT AS all_found, sum((tp > 0 AND tp < n_true)::INT)::BIGINT AS some_found, sum((tp = 0 AND n_true > 0)::INT)::BIGINT AS none_found FROM xo",
     "combined_blocker_thresholds": _thresholds("SELECT sid, tid, 0 AS df FROM xm UNION ALL " + _met("'ntok', 'atok'")),
     "candidate_counts_by_threshold": "SELECT threshold, candidates, s1_with_candidates, avg_candidates FROM (" + _thresholds(_met("'ntok'")) + ")",
+    "addr_candidate_counts": "SELECT threshold, candidates, s1_with_candidates, avg_candidates FROM (" + _thresholds(_met("'atok'")) + ")",
+    "matches_lookup": "SELECT DISTINCT p.sid, p.tid, r.business_name, r.business_address, r.country FROM p JOIN r ON r.entity_id = p.tid WHERE p.sid = (SELECT min(sid) FROM p)",
     "rare_coverage_curve": _curve(_low("ntok")), "rare_addr_coverage_curve": _curve(_low("atok")),
     "rarest_describe": "SELECT count(df)::BIGINT AS n, round(avg(df), 6) AS mean, round(stddev_samp(df), 6) AS std, min(df)::BIGINT AS min, max(df)::BIGINT AS max, " + ", ".join(f"round(quantile_cont(df::DOUBLE, {q}), 6) AS {x}" for q, x in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"), (0.9, "p90"), (0.95, "p95"), (0.99, "p99"))) + f" FROM ({_low('ntok')})",
     "missed_name_signal": _curve(f"SELECT q.* FROM ({_low('ntok')}) q WHERE (q.sid, q.tid) NOT IN (SELECT (sid, tid) FROM xm)"),
@@ -191,7 +199,7 @@ BODIES = {
         FROM (SELECT sc = tc AND sn = tn AS f, sc = tc AND s_core = t_core AND s_core <> '' AS c, sc = tc AND s_strong = t_strong AND s_strong <> '' AS a, v2.sid IS NOT NULL AS b FROM pt LEFT JOIN v2 USING (sid, tid))""",
     "gram_ceiling": "SELECT " + ", ".join(f"sum(({c} >= {i})::INT)::BIGINT AS {x}_{i}" for c, x in (("a", "name"), ("b", "address")) for i in (1, 2, 3)) + " FROM (SELECT sid, tid, sum((kind = 'ngram')::INT) AS a, sum((kind = 'agram')::INT) AS b FROM sh JOIN ok USING (kind, country, key) WHERE kind IN ('ngram', 'agram') GROUP BY sid, tid)",
     "topk_gram_ceiling": "SELECT k AS k, count(q.rank)::BIGINT AS recovered FROM (SELECT unnest([1, 2, 3])::BIGINT AS k) LEFT JOIN (SELECT sh.sid, sh.tid, min(rk.rank) AS rank FROM sh JOIN rk USING (sid, kind, country, key) WHERE kind IN ('ngram', 'agram') GROUP BY sh.sid, sh.tid) q ON q.rank <= k GROUP BY k",
-    "posting_upper_bound": f"SELECT count(*)::BIGINT AS records, round(sum(n)::DOUBLE / count(*), 6) AS avg_bound, {_at(0.95)} AS p95, {_at(0.99)} AS p99 FROM ({_bound})",
+    "posting_upper_bound": _bound("ngram"), "addr_posting_upper_bound": _bound("agram"),
     "digit_jaccard_feat": f"""SELECT sid, tid, round(CASE WHEN len(x) = 0 AND len(y) = 0 THEN -1.0::DOUBLE ELSE {jac("x", "y")} END, 6) AS digit_jaccard FROM (SELECT sid, tid, {digits("sn || ' ' || sa")} AS x, {digits("tn || ' ' || ta")} AS y FROM ct)""",
     "len_ratio_feat": "SELECT sid, tid, " + ", ".join(f"round(least(length({a}), length({b})) / (greatest(length({a}), length({b})) + 1e-5), 6) AS {x}" for a, b, x in (("sn", "tn", "len_n"), ("sa", "ta", "len_a"))) + " FROM ct",
     "eval_macro_f05": f"SELECT {MACRO} FROM (SELECT * FROM sw WHERE threshold = 0.5)",

@@ -17,7 +17,7 @@ THRESHOLDS = (0.40, 0.45, 0.50, 0.55, 0.60, 0.65, 0.70, 0.75, 0.80, 0.85, 0.90,
 
 def candidates(s1: DataFrame, corpus: DataFrame, cfg: ErConfig) -> DataFrame:
     """(sid, tid, block_score, rnk) from derived records of both sides."""
-    met = blocking.shared_keys(blocking_keys(s1, cfg), blocking_keys(corpus, cfg), cfg)
+    met = blocking.shared_keys(blocking_keys(s1, cfg, cfg.kinds), blocking_keys(corpus, cfg, cfg.kinds), cfg)
     scored = blocking.score(met)
     if cfg.rank_by == "match":
         matched = features.linear_match(features.with_texts(scored, s1, corpus), cfg)
@@ -25,14 +25,18 @@ def candidates(s1: DataFrame, corpus: DataFrame, cfg: ErConfig) -> DataFrame:
     return ranking.top_k(scored, cfg.top_k)
 
 
-def vectors(s1: DataFrame, corpus: DataFrame, cfg: ErConfig, names: tuple[str, ...] = features.THIRTEEN) -> DataFrame:
-    return features.features(features.with_texts(candidates(s1, corpus, cfg), s1, corpus), names)
+def vectors(s1: DataFrame, corpus: DataFrame, cfg: ErConfig) -> DataFrame:
+    return features.features(features.with_texts(candidates(s1, corpus, cfg), s1, corpus), feature_names(cfg))
 
 
-def train(s1: DataFrame, corpus: DataFrame, pairs: DataFrame, validation: DataFrame, cfg: ErConfig, n_sample: int = 25_000, rounds: int | None = None, names: tuple[str, ...] = features.THIRTEEN) -> PipelineModel:
+def feature_names(cfg: ErConfig) -> tuple[str, ...]:
+    return features.NINE if cfg.features == 9 else features.THIRTEEN
+
+
+def train(s1: DataFrame, corpus: DataFrame, pairs: DataFrame, validation: DataFrame, cfg: ErConfig, n_sample: int = 25_000, rounds: int | None = None) -> PipelineModel:
     """Trains on a fixed sample of source 1 records that aren't validation records."""
     rest = s1.join(validation.select(F.col("source1_entity_id").alias("entity_id")), "entity_id", "left_anti")
-    return model.trained(model.labelled(vectors(model.sample(rest, n_sample), corpus, cfg, names), pairs), names, rounds)
+    return model.trained(model.labelled(vectors(model.sample(rest, n_sample), corpus, cfg), pairs), feature_names(cfg), rounds)
 
 
 def validate(s1: DataFrame, corpus: DataFrame, pairs: DataFrame, fitted: PipelineModel, cfg: ErConfig, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:

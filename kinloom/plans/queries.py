@@ -81,6 +81,10 @@ def norm_ascii(v: View) -> DataFrame:
     return v.records.select("entity_id", X.normalize_ascii(F.col("business_name")).alias("name"))
 
 
+def norm_raw_tokens(v: View) -> DataFrame:
+    return v.records.select("entity_id", listed(X.raw_tokens(F.col("business_name"))).alias("name_tokens"))
+
+
 def norm_tokens(v: View) -> DataFrame:
     return v.derived.select("entity_id", listed(X.tokens(F.col("old_name"))).alias("name_tokens"), listed(X.tokens(F.col("old_address"))).alias("address_tokens"))
 
@@ -186,8 +190,19 @@ def combined_blockers(v: View) -> DataFrame:
     return reports.by_threshold(v.s1, v.pairs, met, LIMITS)
 
 
-def candidate_counts(v: View) -> DataFrame:
-    s, t = v.keys("ntok")
+def candidate_counts(kind: str) -> Callable[[View], DataFrame]:
+    return lambda v: _candidate_counts(v, kind)
+
+
+def matches_lookup(v: View) -> DataFrame:
+    """The first matched source 1 record by id, with its matches' fields."""
+    one = v.pairs.agg(F.min("sid").alias("sid"))  # one row
+    mine = v.pairs.join(F.broadcast(one), "sid", "left_semi").distinct()
+    return mine.join(v.records.select(F.col("entity_id").alias("tid"), "business_name", "business_address", "country"), "tid")
+
+
+def _candidate_counts(v: View, kind: str) -> DataFrame:
+    s, t = v.keys(kind)
     df = stats.document_frequency(t).filter(f"df <= {max(LIMITS)}")
     met = s.join(df, blocking.KEY).withColumnRenamed("entity_id", "sid").join(t.withColumnRenamed("entity_id", "tid"), blocking.KEY).select("sid", "tid", "df")
     return reports.by_threshold(v.s1, v.pairs, met, LIMITS).select("threshold", "candidates", "s1_with_candidates", "avg_candidates")
@@ -202,9 +217,8 @@ def missed_name_signal(v: View) -> DataFrame:
     return reports.coverage_curve(reports.rarest_shared(missed, *v.keys("ntok"), "ntok"), CURVE)
 
 
-def posting_upper_bound(v: View) -> DataFrame:
-    s, t = v.keys("ngram")
-    return reports.posting_stats(v.s1, blocking.posting_bound(s, t, CFG, "ngram"))
+def posting_bound(kind: str) -> Callable[[View], DataFrame]:
+    return lambda v: reports.posting_stats(v.s1, blocking.posting_bound(*v.keys(kind), CFG, kind))
 
 
 def pair_features(v: View) -> DataFrame:
@@ -287,7 +301,7 @@ def error_examples(v: View) -> DataFrame:
 
 
 VIEWS: dict[str, Callable[[View], DataFrame]] = {
-    "norm_text": norm_text, "norm_ascii": norm_ascii, "norm_tokens": norm_tokens, "norm_strong_name": norm_strong_name, "norm_core_name": norm_core_name,
+    "norm_text": norm_text, "norm_ascii": norm_ascii, "norm_tokens": norm_tokens, "norm_raw_tokens": norm_raw_tokens, "norm_strong_name": norm_strong_name, "norm_core_name": norm_core_name,
     "norm_strong_address": norm_strong_address, "norm_char3grams": norm_char3grams, "norm_digits": norm_digits,
     "df_name_tokens": df_of("ntok"), "df_addr_tokens": df_of("atok"), "df_name_grams": df_of("ngram"), "df_addr_grams": df_of("agram"),
     "df_global_tokens": df_global_tokens, "df_vocab_restricted": df_vocab_restricted, "top_tokens_by_country": top_tokens_by_country, "top_tokens": top_tokens, "distinct_keys": distinct_keys,
@@ -298,12 +312,12 @@ VIEWS: dict[str, Callable[[View], DataFrame]] = {
     "pairs_exploded": lambda v: reports.exploded(v.truth), "match_count_dist": lambda v: reports.match_distribution(v.truth), "target_multiplicity": lambda v: reports.target_multiplicity(v.pairs),
     "dup_ids": dup_ids, "data_profile": data_profile, "country_counts": country_counts, "source_counts": sources_counted,
     "recall_exact": recall_exact, "recall_by_matchcount": lambda v: evaluate.recall_by_matches(_outcomes(v, v.met("exact"))), "recall_all_some_zero": lambda v: evaluate.all_some_zero(_outcomes(v, v.met("exact"))),
-    "oracle_recall": oracle_recall, "combined_blocker_thresholds": combined_blockers, "candidate_counts_by_threshold": candidate_counts,
+    "oracle_recall": oracle_recall, "combined_blocker_thresholds": combined_blockers, "candidate_counts_by_threshold": candidate_counts("ntok"), "addr_candidate_counts": candidate_counts("atok"), "matches_lookup": matches_lookup,
     "rare_coverage_curve": lambda v: reports.coverage_curve(rarest("ntok")(v), CURVE), "rare_addr_coverage_curve": lambda v: reports.coverage_curve(rarest("atok")(v), CURVE), "rarest_describe": lambda v: reports.describe(rarest("ntok")(v)),
     "missed_name_signal": missed_name_signal, "overlap_name": lambda v: reports.overlap(v.texts, "old_name"), "overlap_addr": lambda v: reports.overlap(v.texts, "old_address"),
     "miss_categories": lambda v: reports.categories(v.texts), "address_signal": lambda v: reports.address_signal(v.texts),
     "strong_norm_recovery": lambda v: reports.strong_recovery(v.texts, reports.blocked_flags(v.pairs, *v.keys("exact", "ntok", "atok"), CFG)),
-    "gram_ceiling": lambda v: reports.gram_ceiling(v.pairs, *v.keys("ngram", "agram"), CFG), "topk_gram_ceiling": lambda v: reports.top_gram_ceiling(v.pairs, *v.keys("ngram", "agram"), CFG), "posting_upper_bound": posting_upper_bound,
+    "gram_ceiling": lambda v: reports.gram_ceiling(v.pairs, *v.keys("ngram", "agram"), CFG), "topk_gram_ceiling": lambda v: reports.top_gram_ceiling(v.pairs, *v.keys("ngram", "agram"), CFG), "posting_upper_bound": posting_bound("ngram"), "addr_posting_upper_bound": posting_bound("agram"),
     "digit_jaccard_feat": pair_features, "len_ratio_feat": length_features, "eval_macro_f05": eval_macro_f05, "threshold_sweep": threshold_sweep, "best_threshold": best_threshold,
     "matched_output": matched_output, "topk_by_match": topk_by_match, "score_histogram": lambda v: reports.histogram(v.jaccard_scored, v.pairs, "score"), "class_balance": class_balance,
     "split_stratified": split_stratified, "sample_rows": sample_rows,

@@ -1,10 +1,11 @@
 import math
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
-from kinloom.config import ErConfig, parse
+from kinloom.config import PRESETS, ErConfig, parse
 from kinloom.operators import blocking, evaluate, ranking, sinks, stats
 from kinloom.operators.derive import blocking_keys, derive
 from kinloom.plans import pipeline
@@ -143,3 +144,14 @@ def test_training_inference_resume_and_stream(spark, tmp_path):
 def test_command_line():
     args, cfg = parse(["--source1", "a", "--targets", "b", "c", "--out", "o", "--top-k", "7", "--long-addresses"])
     assert args.targets == ["b", "c"] and cfg.top_k == 7 and cfg.long_addresses and cfg.threshold == 0.6
+    assert parse(["--source1", "a", "--targets", "b", "--out", "o", "--preset", "v23", "--no-long-addresses"])[1] == replace(PRESETS["v23"], long_addresses=False)
+
+
+def test_presets_and_plan(spark):
+    rows = made(8, 30, "S1")
+    for name in ("v2", "v4", "v23"):
+        cfg = PRESETS[name]
+        one = derive(spark.createDataFrame(rows, records.RECORDS), cfg)
+        assert pipeline.linear(one, one, cfg).count() == 30
+    plan = pipeline.candidates(one, one, CFG)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
