@@ -33,14 +33,14 @@ def rarest(weighted: DataFrame, k: int) -> DataFrame:
 def weighted_keys(s1_keys: DataFrame, target_keys: DataFrame, cfg: ErConfig) -> DataFrame:
     """Source 1's keys that block, with their weight."""
     w = cfg.weights
-    constant = s1_keys.filter(F.col("kind").isin(*CONSTANT))
-    weight = F.when(F.col("kind") == "exact", w.exact).when(F.col("kind") == "core", w.core).otherwise(w.addr)
-    counted = target_keys.filter(F.col("kind").isin(*TOKENS, *GRAMS))
-    df = eligible(document_frequency(counted), cfg)
-    rare = s1_keys.join(df, KEY)
     scale = F.when(F.col("kind") == "ntok", w.ntok).when(F.col("kind") == "atok", w.atok).when(F.col("kind") == "ngram", w.ngram).otherwise(w.agram)
-    chosen = rare.filter(F.col("kind").isin(*TOKENS)).unionByName(rarest(rare.filter(F.col("kind").isin(*GRAMS)), cfg.grams_per_record))
-    return constant.withColumn("weight", weight).unionByName(chosen.withColumn("weight", scale / (F.lit(1.0) + F.sqrt("df"))).drop("df"))
+    constant = F.when(F.col("kind") == "exact", w.exact).when(F.col("kind") == "core", w.core).otherwise(w.addr)
+    df = eligible(document_frequency(target_keys.filter(F.col("kind").isin(*TOKENS, *GRAMS))), cfg)
+    # One left join and one window serve all kinds, so source 1 is read once and the targets are counted once.
+    known = s1_keys.join(df, KEY, "left").filter(F.col("kind").isin(*CONSTANT) | F.col("df").isNotNull())
+    place = F.row_number().over(W.partitionBy("entity_id", "kind").orderBy("df", "key"))
+    chosen = known.withColumn("place", place).filter(~F.col("kind").isin(*GRAMS) | (F.col("place") <= cfg.grams_per_record))
+    return chosen.withColumn("weight", F.when(F.col("kind").isin(*CONSTANT), constant).otherwise(scale / (F.lit(1.0) + F.sqrt("df")))).drop("df", "place")
 
 
 def shared_keys(s1_keys: DataFrame, target_keys: DataFrame, cfg: ErConfig) -> DataFrame:

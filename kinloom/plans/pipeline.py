@@ -65,11 +65,17 @@ def resumed(spark: SparkSession, s1: DataFrame, corpus: DataFrame, path: str, cf
     return spark.read.parquet(path)
 
 
+def stored(derived: DataFrame, path: str) -> DataFrame:
+    """Writes derived records, so that each pass over them reads columns and no text is normalised twice."""
+    derived.write.mode("overwrite").parquet(path)
+    return derived.sparkSession.read.parquet(path)
+
+
 def main(argv: list[str] | None = None) -> None:
     args, cfg = parse(argv)
     spark = SparkSession.builder.appName("kinloom").getOrCreate()
-    s1 = derive(unique_by_id(read_records(spark, args.source1, args.limit_s1)), cfg)
-    corpus = derive(unique_by_id(targets(*[read_records(spark, t, args.limit_target_rows) for t in args.targets])), cfg)
+    s1 = stored(derive(unique_by_id(read_records(spark, args.source1, args.limit_s1)), cfg), f"{args.out}/_derived/source1")
+    corpus = stored(derive(unique_by_id(targets(*[read_records(spark, t, args.limit_target_rows) for t in args.targets])), cfg), f"{args.out}/_derived/targets")
     if args.mode in ("train", "validate"):
         pairs, ids = exploded(read_truth(spark, args.truth)), read_tsv(spark, args.validation_ids, IDS)
         if args.mode == "train":

@@ -155,3 +155,12 @@ def test_presets_and_plan(spark):
         assert pipeline.linear(one, one, cfg).count() == 30
     plan = pipeline.candidates(one, one, CFG)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_command_line_run(spark, tmp_path):
+    path = {n: str(tmp_path / n) for n in ("s1.tsv", "s2", "out")}
+    sinks.write_tsv(spark.createDataFrame(made(5, 10, "S1"), records.RECORDS), path["s1.tsv"])
+    spark.createDataFrame(made(6, 20, "S2"), records.RECORDS).write.parquet(path["s2"])
+    pipeline.main(["--source1", path["s1.tsv"], "--targets", path["s2"], "--out", path["out"], "--top-k", "3", "--linear-threshold", "0.5"])
+    got = spark.read.csv(f"{path['out']}/candidate_pairs", sep="\t", header=True)
+    assert got.count() == 10 and got.filter("candidate_entity_ids IS NOT NULL").count() > 0
