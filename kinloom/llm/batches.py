@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 CHARS = 1_000_000
+#: Rows and bytes that Spark sends to Python at once.
+ROWS, BYTES = 1000, 16 << 20
 
 
 def pieces(texts: list[str], chars: int = CHARS) -> Iterator[list[int]]:
@@ -37,9 +39,14 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], list[tup
     read as empty) to a list of rows of the added columns. Kept columns that have
     an added column's name are left out.
     """
+    conf = docs.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES))
     new = StructType.fromDDL(added)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in new.names]
     schema = StructType([docs.schema[c] for c in keep] + new.fields)
+    sent = [F.col(f"`{c}`") for c in keep] + ([] if text in keep else [F.col(text).alias("__text")])
+    place = keep.index(text) if text in keep else len(keep)
     kinds = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,18 +55,16 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], list[tup
 
         kinds = kinds or to_arrow_schema(new)
         f = make()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
-                rows: list[tuple | None] = [None] * len(texts)
-                for run_ in pieces(texts):
-                    for i, row in zip(run_, f([texts[i] for i in run_]), strict=True):
-                        rows[i] = row
-                columns = zip(*rows, strict=True) if rows else [[] for _ in new]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(k) for k in range(len(keep))] + [pa.array(list(c), kinds.field(k).type) for k, c in enumerate(columns)],
-                    names=list(chain(keep, new.names)),
-                )
+        for batch in batches:
+            texts = [t or "" for t in batch.column(place).to_pylist()]
+            rows: list[tuple | None] = [None] * len(texts)
+            for some in pieces(texts):
+                for i, row in zip(some, f([texts[i] for i in some]), strict=True):
+                    rows[i] = row
+            columns = zip(*rows, strict=True) if rows else [[] for _ in new]
+            made = [pa.array(list(c), kinds.field(k).type) for k, c in enumerate(columns)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=list(chain(keep, new.names)))
+            del batch, texts, rows, columns, made
+            pa.default_memory_pool().release_unused()
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*sent).mapInArrow(run, schema)
