@@ -12,7 +12,7 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 CHARS = 1_000_000
 #: Rows and bytes that Spark sends to Python at once.
@@ -44,8 +44,9 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], list[tup
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES))
     new = StructType.fromDDL(added)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in new.names]
-    schema = StructType([docs.schema[c] for c in keep] + new.fields)
-    sent = [F.col(f"`{c}`") for c in keep] + ([] if text in keep else [F.col(text).alias("__text")])
+    inner = [f"k{k}" for k in range(len(keep))]  # kept names may hold dots, which mapInArrow doesn't take
+    schema = StructType([StructField(k, docs.schema[c].dataType) for k, c in zip(inner, keep, strict=True)] + new.fields)
+    sent = [F.col(f"`{c}`").alias(k) for k, c in zip(inner, keep, strict=True)] + ([] if text in keep else [F.col(text).alias("__text")])
     place = keep.index(text) if text in keep else len(keep)
     kinds = None
 
@@ -63,8 +64,8 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], list[tup
                     rows[i] = row
             columns = zip(*rows, strict=True) if rows else [[] for _ in new]
             made = [pa.array(list(c), kinds.field(k).type) for k, c in enumerate(columns)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=list(chain(keep, new.names)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=list(chain(inner, new.names)))
             del batch, texts, rows, columns, made
             pa.default_memory_pool().release_unused()
 
-    return docs.select(*sent).mapInArrow(run, schema)
+    return docs.select(*sent).mapInArrow(run, schema).toDF(*keep, *new.names)

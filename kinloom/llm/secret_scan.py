@@ -23,6 +23,7 @@ from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .batches import map_texts
 from .common import table
@@ -134,7 +135,7 @@ def redacted(docs: DataFrame, ranks: str | None = None) -> DataFrame:
     A null text becomes an empty one.
     """
     out = map_texts(docs, scanner(ranks or default_ranks(), redact=True), "text string, n_secrets long")
-    return out.select(*docs.columns, *[c for c in ("n_secrets",) if c not in docs.columns])
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *[c for c in ("n_secrets",) if c not in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
