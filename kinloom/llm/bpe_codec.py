@@ -34,7 +34,7 @@ from .batches import map_texts
 from .common import table
 
 #: Known words a process keeps, and pairs of tokens whose validity it keeps.
-WORDS_KEPT, PAIRS_KEPT = 200_000, 200_000
+WORDS_KEPT, PAIRS_KEPT = 400_000, 200_000
 NEVER = 1 << 60
 #: Below this code point, lower case and composed, Python and the library agree on letters and numbers.
 PLAIN_BELOW = "ɐ"
