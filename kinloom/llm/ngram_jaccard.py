@@ -1,14 +1,17 @@
 """N-gram Jaccard self-join: a blocked sparse product of documents by n-grams.
 
-Documents link when their sets of 3-word shingles have a Jaccard similarity of at
-least 0.9. With sizes X and Y and overlap I that is 19 I >= 9 (X + Y): the overlap
-has a bound that follows from the sizes, and at most (X + Y) / 19 shingles differ.
+Documents link when their sets of word shingles have a Jaccard similarity of at
+least p / q (`Join`: op8's query takes 3 words and 9 / 10). With sizes X and Y and
+overlap I that is (p + q) I >= p (X + Y): the overlap has a bound that follows from
+the sizes, and at most (X + Y) (q - p) / (p + q) shingles differ.
 
-Blocks of columns. The shingles' hash range is cut into one more block than may
+Blocks of columns. The shingles' hash range is cut into more blocks than may
 differ, so two linked documents agree on a whole block. (Sizes fall into classes,
 each with its own number of blocks; a document near its class's upper end is cut
-for the next class, too.) Only rows that agree on a block are multiplied: the
-product's other cells are below their bound.
+for the next class, too.) Where more of a document's blocks hold shingles than may
+differ, it agrees with each linked one on such a block, so its empty blocks, which
+unrelated documents share, are left out. Only rows that agree on a block are
+multiplied: the product's other cells are below their bound.
 
 Rows. Documents with equal sets are one row. Of the rows that agree on a block, the
 one that agrees most often with others is the block's pivot and is multiplied with
@@ -26,7 +29,7 @@ a block. Blocks' counts, pivots and components are minima and counts with partia
 aggregates, and joins can be split where a key is hot.
 
 Defined results: a null or wordless text has 0 shingles and only itself as its
-component; fewer than 3 words are one shingle; a row without doc_id has a null
+component; fewer words than a shingle's are one shingle; a row without doc_id has a null
 component; where one doc_id has different texts, one of them (that of the smallest
 digest) stands for it; an empty table gives an empty result; only doc_id and text
 are read.
@@ -55,8 +58,13 @@ P1, P2, P3 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
 @dataclass(frozen=True)
 class Join:
     shingle: int = 3
+    #: The least Jaccard similarity of a link, as a fraction.
+    p: int = 9
+    q: int = 10
     #: Blocks with more rows than this besides the pivot take the second cut.
     small_block: int = 8
+    #: Blocks are matched in this many passes, each over its share of the hashes, so that only a share is on disk at once.
+    passes: int = 4
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -94,26 +102,29 @@ def classes() -> np.ndarray:
     return np.array(out)
 
 
-def signatures(s: np.ndarray) -> np.ndarray:
+def signatures(s: np.ndarray, how: Join = Join()) -> np.ndarray:
     """A hash for each block of a sorted set, of the set's class, block and content."""
-    n, low = len(s), classes()
-    own = int(np.searchsorted(low, n, side="right")) - 1
-    out = []
-    for level in (own, own + 1):
-        if level > own and 10 * n < 9 * low[level]:
-            break
-        blocks = 2 * (int(low[level + 1]) - 1) // 19 + 1
+    n, low, p, q = len(s), classes(), how.p, how.q
+    level = int(np.searchsorted(low, n, side="right")) - 1
+    own, out = level, []
+    while level == own or q * n >= p * low[level]:
+        differ = 2 * (int(low[level + 1]) - 1) * (q - p) // (p + q)
+        blocks = differ + 1 + (differ + 7) // 8
         edges = np.searchsorted(s, np.arange(1, blocks, dtype=U) * U(((1 << 64) - 1) // blocks))
+        at = np.concatenate(([0], edges, [n]))
         total = np.concatenate((np.zeros(1, U), np.cumsum(mixed(s ^ P3))))
-        content = np.diff(total[np.concatenate(([0], edges, [n]))])
-        out.append(mixed(mixed(content + U(level * int(P1) % (1 << 64))) + np.arange(blocks, dtype=U) * P3))
+        hashes = mixed(mixed(np.diff(total[at]) + U(level * int(P1) % (1 << 64))) + np.arange(blocks, dtype=U) * P3)
+        filled = np.diff(at) > 0
+        # A linked set has at most q / p of this one's size, so no more than n (q - p) / p shingles differ.
+        out.append(hashes[filled] if filled.sum() > min(differ, n * (q - p) // p) else hashes)
+        level += 1
     return np.concatenate(out).view(np.int64)
 
 
-def _rows(size: int) -> Callable[[], Callable[[list[str]], list[tuple]]]:
+def _rows(how: Join) -> Callable[[], Callable[[list[str]], list[tuple]]]:
     def row(text: str) -> tuple:
-        s = shingles(text, size)
-        return (len(s), hashlib.md5(s.tobytes()).digest(), signatures(s)) if len(s) else (0, None, None)
+        s = shingles(text, how.shingle)
+        return (len(s), hashlib.md5(s.tobytes()).digest(), signatures(s, how)) if len(s) else (0, None, None)
 
     return lambda: lambda texts: [row(t) for t in texts]
 
@@ -128,16 +139,16 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def compatible(x: str = "na", y: str = "nb"):
+def compatible(how: Join, x: str = "na", y: str = "nb"):
     """Whether the sizes alone leave the bound within reach."""
-    return (F.least(x, y) * 10) >= (F.greatest(x, y) * 9)
+    return (F.least(x, y) * how.q) >= (F.greatest(x, y) * how.p)
 
 
-def multiplied(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def multiplied(pairs: DataFrame, sets: DataFrame, how: Join) -> DataFrame:
     """The pairs (a, b) whose overlap reaches its bound."""
     left, right = (sets.select(F.col("rep").alias(x), F.col("set").alias(f"s{x}")) for x in "ab")
     overlap = F.size(F.array_intersect("sa", "sb")).cast("bigint")
-    return pairs.select("a", "b").join(left, "a").join(right, "b").filter(overlap * 19 >= (F.size("sa").cast("bigint") + F.size("sb")) * 9).select("a", "b")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").filter(overlap * (how.p + how.q) >= (F.size("sa").cast("bigint") + F.size("sb")) * how.p).select("a", "b")
 
 
 def with_component(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -145,7 +156,7 @@ def with_component(rows: DataFrame, links: DataFrame) -> DataFrame:
     return rows.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
 
-def rarest_first(large: DataFrame, sets: DataFrame) -> DataFrame:
+def rarest_first(large: DataFrame, sets: DataFrame, how: Join) -> DataFrame:
     """Pairs of different components that the second cut leaves.
 
     large: (rep, n, component), distinct.
@@ -153,22 +164,32 @@ def rarest_first(large: DataFrame, sets: DataFrame) -> DataFrame:
     entries = large.join(sets, "rep").select("rep", "n", "component", F.explode("set").alias("s"))
     often = entries.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
     ordered = entries.join(often, "s").groupBy("rep", "n", "component").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("es"))
-    # Any 90 % of a set meets its first n - ceil(0.9 n) + 1 shingles, in any order that all sets share.
-    prefix = F.slice("es", F.lit(1), (F.col("n") - F.ceil(F.col("n") * 9 / 10) + 1).cast("int"))
+    # Any p / q of a set meets its first n - ceil(n p / q) + 1 shingles, in any order that all sets share.
+    prefix = F.slice("es", F.lit(1), (F.col("n") - F.ceil(F.col("n") * how.p / how.q) + 1).cast("int"))
     p = ordered.select("rep", "n", "component", F.posexplode(prefix).alias("pos", "e")).filter("e.df > 1")
     p = cut(p.select("rep", "n", "component", "pos", F.col("e.s").alias("s")))
     a, b = (p.select("s", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}"), F.col("pos").alias(f"p{x}")) for x in "ab")
     left = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    able = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & compatible() & (left * 19 >= (F.col("na") + F.col("nb")) * 9)
+    able = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & compatible(how) & (left * (how.p + how.q) >= (F.col("na") + F.col("nb")) * how.p)
     return a.join(b, (a["s"] == b["s"]) & able).select("a", "b").distinct()
 
 
-def agreeing(every: DataFrame, groups: DataFrame) -> DataFrame:
-    """(block, rep, n, rows): the blocks on which at least two rows agree."""
+def represented(every: DataFrame, groups: DataFrame) -> DataFrame:
+    """(rep, n, blocks): one row for each group of equal sets."""
     reps = every.join(groups.select(F.col("rep").alias("doc_id"), "set_hash"), ["doc_id", "set_hash"], "left_semi").dropDuplicates(["doc_id", "set_hash"])
-    blocks = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("blocks").alias("block"))
-    agreed = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-    return cut(blocks.join(agreed.hint("shuffle_hash"), "block"))
+    return cut(reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "blocks"))
+
+
+def agreeing(reps: DataFrame, how: Join) -> DataFrame:
+    """(block, rep, n, rows): the blocks on which at least two rows agree."""
+    out = None
+    for k in range(how.passes):
+        blocks = reps.select("rep", "n", F.explode("blocks").alias("block")).filter(F.pmod("block", F.lit(how.passes)) == k)
+        agreed = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+        part = cut(blocks.join(agreed.hint("shuffle_hash"), "block"))
+        out = part if out is None else out.union(part)
+        release(reps.sparkSession)
+    return out
 
 
 def pivoted(shared: DataFrame) -> DataFrame:
@@ -202,32 +223,35 @@ def left_over(rest: DataFrame, sets: DataFrame, how: Join) -> DataFrame:
     """Pairs of unfinished blocks that the pivots' products don't settle."""
     small, large = rest.filter(F.col("rows") - 1 <= how.small_block), rest.filter(F.col("rows") - 1 > how.small_block)
     a, b = (small.select("block", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
-    few = a.join(b, (a["block"] == b["block"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & compatible()).select("a", "b")
-    return cut(few.union(rarest_first(large.select("rep", "n", "component").distinct(), sets)).distinct())
+    few = a.join(b, (a["block"] == b["block"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & compatible(how)).select("a", "b")
+    return cut(few.union(rarest_first(large.select("rep", "n", "component").distinct(), sets, how)).distinct())
 
 
 def linked(docs: DataFrame, how: Join = Join()) -> DataFrame:
     """One row a row of `docs`: doc_id, version (of its text), n_shingles, component_id."""
     spark, docs = docs.sparkSession, docs.select("doc_id", "text")
     rows = docs.withColumn("version", version(F.col("text")))
-    every = cut(map_texts(rows, _rows(how.shingle), "n_shingles long, set_hash binary, blocks array<long>", keep=["doc_id", "version"]))
+    every = cut(map_texts(rows, _rows(how), "n_shingles long, set_hash binary, blocks array<long>", keep=["doc_id", "version"]))
     brief = cut(every.select("doc_id", "version", "n_shingles", "set_hash"))
     first = brief.filter("doc_id IS NOT NULL AND set_hash IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("set_hash", "version")).alias("m"))
     one = cut(first.select("doc_id", "m.set_hash", "m.version"))
     groups = cut(one.groupBy("set_hash").agg(F.min("doc_id").alias("rep")))
-    shared = agreeing(every, groups)
+    reps = represented(every, groups)
     del every, rows
     release(spark)
+    shared = agreeing(reps, how)
+    del reps
+    release(spark)
     shared = pivoted(shared)
     release(spark)
     sets = fetched(docs, one, shared, how)
     release(spark)
-    star = shared.filter(F.col("rep") != F.col("pivot")).filter(compatible("n", "np")).select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = cut(multiplied(star, sets))
+    star = shared.filter(F.col("rep") != F.col("pivot")).filter(compatible(how, "n", "np")).select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
+    links = cut(multiplied(star, sets, how))
     release(spark)
     pairs = left_over(unfinished(shared, links), sets, how)
     release(spark)
-    links = cut(links.union(multiplied(pairs, sets)))
+    links = cut(links.union(multiplied(pairs, sets, how)))
     del shared, star, pairs, sets
     found = connected_components(links).withColumnRenamed("node", "rep")
     by_hash = groups.join(found, "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component_id"))
