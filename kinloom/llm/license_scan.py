@@ -1,9 +1,11 @@
 """License scans by sentence rules.
 
-A text is cut into sentences, each sentence is normalised (lower case, runs of
-other characters than letters and digits as one space) and looked up among known
-licence sentences; the identifiers found, in the text's order, are matched
-against ordered licence rules. The first matching rule names the licence.
+A text is cut into parts at line breaks and punctuation marks, the parts are
+normalised (lower case, runs of other characters than letters and digits as one
+space), and known licence sentences of one part or several on end are found, from
+the left and the longest first: a sentence may be wrapped, or hold a mark as in
+'free software: you can' or 'v. 2.0'. The identifiers found, in the text's order,
+are matched against ordered licence rules. The first matching rule names the licence.
 
 Every known sentence holds one of a few marker words (`MARKERS`; asserted below),
 so texts without a marker have no known sentence and are not cut up. The tables
@@ -12,7 +14,8 @@ size. DataFrame functions only.
 
 Defined results: a null or empty text has no sentences and no licence ('');
 repeated rows give repeated results; an empty table gives an empty result; only
-doc_id and text are read by the query.
+doc_id and text are read by the query. The SQL states sentences of one part only,
+so it finds fewer where a sentence has several.
 """
 
 from __future__ import annotations
@@ -78,11 +81,18 @@ END = r"\n|[.!?:;]+(?:[ \t-\r]+|$)"
 assert all(re.search(MARKERS, s) for s in SENTENCES.values())
 
 
+#: Stands for the end of a part: any mix of line breaks, punctuation marks and other characters.
+CUT = "\x01"
+FOUND = f"(?<={CUT})(?:" + "|".join(x.replace(" ", f"[ {CUT}]") for x in sorted(SENTENCES.values(), key=len, reverse=True)) + f")(?={CUT})"
+
+
 def sentence_ids(text: Column) -> Column:
     """The identifiers of known sentences in the text, in its order."""
     known = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (s, i)])
-    normal = lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
-    found = F.filter(F.transform(F.split(text, END), lambda s: F.element_at(known, normal(s))), lambda i: i.isNotNull())
+    parts = F.lower(F.regexp_replace(F.translate(text, CUT, " "), END, CUT))
+    words = F.regexp_replace(F.regexp_replace(parts, f"[^a-z0-9{CUT}]+", " "), f" ?{CUT}[ {CUT}]*", CUT)
+    line = F.concat(F.lit(CUT), F.trim(words), F.lit(CUT))
+    found = F.transform(F.regexp_extract_all(line, F.lit(FOUND), F.lit(0)), lambda s: F.element_at(known, F.translate(s, CUT, " ")))
     return F.when(text.rlike(MARKERS), found).otherwise(F.array().cast("array<string>"))
 
 
