@@ -3,8 +3,11 @@
 A tokenizer's vocabulary holds what is common in text, so common strings take few
 tokens and random ones many. A run of key characters with fewer than
 `CHARS_PER_TOKEN` characters a token is a secret of kind `random`, unless it is a
-known digest (hex of a digest's length, UUID), a number, an identifier or a path
-made of words, or overlaps a span that the patterns found.
+known digest (hex of a digest's length, UUID), a number, a repetition of a few
+characters or a list of short parts, or overlaps a span that the patterns found.
+Identifiers and paths made of words have more characters a token. Of a run with
+more, its parts between `=`, `/`, `_` and `-` are tested by themselves, as words
+beside a secret hide it.
 
 One pass over the texts in Arrow batches; no shuffle. Memory is bounded by a
 fixed number of characters or the longest text.
@@ -36,11 +39,13 @@ ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
-WORD = "(?:[A-Z]?[a-z]{2,}|[A-Z]{2,})"
-IDENTIFIER = re.compile(rf"[/_=+-]*{WORD}(?:[/_=+-]*{WORD})*[/_=+-]*[0-9]{{0,4}}[/_=+-]*")
+PART = re.compile(rf"[A-Za-z0-9+]{{{LEAST},}}")
+SHORT = re.compile(r"[^A-Za-z0-9]*(?:[A-Za-z0-9]{1,3}(?:[^A-Za-z0-9]+|$))+")
 UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 PLAIN_HEX = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)=*")
-VARIED = re.compile(r"(?=.*[A-Za-z])(?:.*[0-9]|.*[a-z].*[A-Z].*[a-z])")
+LETTER = re.compile("[A-Za-z]")
+#: Runs of fewer different characters are repetitions.
+FEW = 6
 
 
 def default_ranks() -> str:
@@ -61,8 +66,8 @@ def encoding(path: str):
 
 
 def is_known(run: str) -> bool:
-    """A digest, an identifier or something else that isn't random text."""
-    if not VARIED.match(run) or UUID.fullmatch(run) or IDENTIFIER.fullmatch(run):
+    """A digest, a number, a repetition or a list of short parts."""
+    if not LETTER.search(run) or UUID.fullmatch(run) or SHORT.fullmatch(run) or len(set(run.lower())) < FEW:
         return True
     return bool(PLAIN_HEX.fullmatch(run)) and len(run.rstrip("=")) in DIGEST_LENGTHS
 
@@ -80,12 +85,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def random_spans(text: str, base: list[tuple[int, int, int]], encode: Callable[[str], list[int]]) -> list[tuple[int, int, int]]:
     out = []
+
+    def test(s: int, e: int) -> bool:
+        if is_known(run := text[s:e]) or any(a < e and s < b for a, _, b in base) or e - s >= CHARS_PER_TOKEN * len(encode(run)):
+            return False
+        out.append((s, 3, e))
+        return True
+
     for m in RUN.finditer(text):
         s, e = m.span()
-        if is_known(run := m[0]) or any(a < e and s < b for a, _, b in base):
+        if test(s, e) or UUID.fullmatch(m[0]):
             continue
-        if e - s < CHARS_PER_TOKEN * len(encode(run)):
-            out.append((s, 3, e))
+        value = s + m[0].rstrip("=").rfind("=") + 1
+        end = value if s < value <= e - LEAST and test(value, e) else e
+        for p in PART.finditer(text, s, end):
+            if p.span() != (s, e):
+                test(*p.span())
     return out
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from kinloom.llm import license_scan, ngram_jaccard
+from kinloom.llm import license_scan, ngram_jaccard, secret_scan
 
 from test_methods import brute_components
 
@@ -105,3 +105,16 @@ def test_licences_of_real_notices(spark):
     assert [(r.sentence_ids, r.license) for r in got] == [(ids, want[ids]) for ids, _ in rows]
     inside = spark.createDataFrame([("not released under the MIT License",), ("released under the MIT License agreement",)], "text string")
     assert [r.license for r in license_scan.scan(inside).collect()] == ["", ""]
+
+
+def test_random_strings_of_one_case_and_beside_words():
+    encode = secret_scan.encoding(secret_scan.default_ranks()).encode_ordinary
+    found = lambda t: secret_scan.random_spans(t, [], encode)
+    rng = np.random.default_rng(0)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        assert sum(bool(found("".join(rng.choice(list(letters), 24)))) for _ in range(200)) > 170
+    secret = "IVYw5LSh48X14RmP"
+    for before in ("authorization_bearer_credential=", "authorization/bearer/credential/information/"):
+        assert found(before + secret) == [(len(before), 3, len(before) + 16)]
+    for known in ("a/b/c/d/e/f/g/h/i/j", "------------------------", "hahahahahahahahahaha", "src/main/java/com/example/Application", "TRANSACTION_STATUS_UPDATED"):
+        assert not found(known)
