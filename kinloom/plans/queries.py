@@ -283,7 +283,7 @@ def match_v4_topk(v: View) -> DataFrame:
 
 def gbt_scored(v: View) -> DataFrame:
     rows = model.labelled(features.features(features.with_texts(v.top, v.s1, v.corpus)), v.pairs).persist()
-    fitted = model.trained(rows, rounds=5)
+    fitted = model.trained(rows)
     return model.predicted(fitted, rows).select("sid", "tid", "label", "p", (F.col("p") >= CFG.threshold).alias("matched"))
 
 
