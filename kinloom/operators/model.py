@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -13,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kinloom.shared import ready
+
 from .features import NINE, THIRTEEN
 
 
@@ -45,9 +45,7 @@ def labelled(candidates: DataFrame, pairs: DataFrame) -> DataFrame:
 def trained(features: DataFrame, names: tuple[str, ...] = THIRTEEN, rounds: int | None = None, seed: int = 42) -> PipelineModel:
     """Boosted trees, of depth 6 over nine features or 8 over thirteen."""
     nine = tuple(names) == NINE
-    sc = features.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:  # else the lineage of hundreds of rounds is never cut
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="kinloom-checkpoint-"))
+    ready(features.sparkSession)  # else the lineage of hundreds of rounds is never cut
     trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=rounds or (300 if nine else 400), stepSize=0.05, maxDepth=6 if nine else 8, featureSubsetStrategy="0.8", seed=seed)
     return Pipeline(stages=[VectorAssembler(inputCols=list(names), outputCol="features", handleInvalid="keep"), trees]).fit(features)
 
