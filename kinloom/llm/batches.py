@@ -1,35 +1,43 @@
 """Arrow batches in and out of a function over whole texts.
 
 A batch is cut up so that the texts handled at once stay below a number of
-characters; a longer text is handled alone, so memory follows the longest text.
+bytes; a longer text is handled alone, so memory follows the longest text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-CHARS = 1_000_000
-#: Rows and bytes that Spark sends to Python at once.
-ROWS, BYTES = 1000, 16 << 20
+BYTES = 1_000_000
 
 
-def pieces(texts: list[str], chars: int = CHARS) -> Iterator[list[int]]:
-    """Row numbers, shortest text first, in runs of at most `chars` characters."""
-    run, n = [], 0
-    for i in sorted(range(len(texts)), key=lambda i: len(texts[i])):
-        if run and n + len(texts[i]) > chars:
-            yield run
-            run, n = [], 0
-        run.append(i)
-        n += len(texts[i])
-    if run:
-        yield run
+def pieces(sizes: np.ndarray, most: int = BYTES) -> Iterator[np.ndarray]:
+    """Row numbers, smallest size first, in runs of at most `most` together."""
+    order = np.argsort(sizes, kind="stable")
+    total, at = np.cumsum(sizes[order]), 0
+    while at < len(order):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, side="right")))
+        yield order[at:end]
+        at = end
+
+
+def parts(batches: Iterator[pa.RecordBatch], place: int, most: int = BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """The batches in parts of bounded size, each with its texts (null read as empty) of column `place`."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(place)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        for some in pieces(sizes, most):
+            part = batch.take(pa.array(some))
+            yield part, [t or "" for t in part.column(place).to_pylist()]
+        del batch, sizes
+        pa.default_memory_pool().release_unused()
 
 
 def map_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], list[tuple]]], added: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -39,33 +47,19 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], list[tup
     read as empty) to a list of rows of the added columns. Kept columns that have
     an added column's name are left out.
     """
-    conf = docs.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES))
     new = StructType.fromDDL(added)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in new.names]
     inner = [f"k{k}" for k in range(len(keep))]  # kept names may hold dots, which mapInArrow doesn't take
     schema = StructType([StructField(k, docs.schema[c].dataType) for k, c in zip(inner, keep, strict=True)] + new.fields)
     sent = [F.col(f"`{c}`").alias(k) for k, c in zip(inner, keep, strict=True)] + ([] if text in keep else [F.col(text).alias("__text")])
     place = keep.index(text) if text in keep else len(keep)
-    kinds = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nonlocal kinds
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        kinds = kinds or to_arrow_schema(new)
-        f = make()
-        for batch in batches:
-            texts = [t or "" for t in batch.column(place).to_pylist()]
-            rows: list[tuple | None] = [None] * len(texts)
-            for some in pieces(texts):
-                for i, row in zip(some, f([texts[i] for i in some]), strict=True):
-                    rows[i] = row
-            columns = zip(*rows, strict=True) if rows else [[] for _ in new]
-            made = [pa.array(list(c), kinds.field(k).type) for k, c in enumerate(columns)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=list(chain(inner, new.names)))
-            del batch, texts, rows, columns, made
-            pa.default_memory_pool().release_unused()
+        kinds, f = to_arrow_schema(new), make()
+        for part, texts in parts(batches, place):
+            made = [pa.array(list(c), kinds.field(k).type) for k, c in enumerate(zip(*f(texts), strict=True))]
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *made], names=[*inner, *new.names])
 
     return docs.select(*sent).mapInArrow(run, schema).toDF(*keep, *new.names)

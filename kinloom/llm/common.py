@@ -1,17 +1,17 @@
 """Small helpers that the training-data operators share.
 
-Nothing here keeps state between queries except the checkpoint folder, which
-belongs to the SparkContext.
+Nothing here keeps state between queries.
 """
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinloom.shared import cut, shared_folder  # noqa: F401
+
 #: Regular expression class of the contracts' word characters' complement.
 SPACE = r"[ \t-\r]"
 
@@ -21,19 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes `df` to the shared checkpoint folder and cuts its lineage.
-
-    The folder is the session's `spark.checkpoint.dir`. Only where that is
-    unset (a local session, as in tests) a temporary folder is taken.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        where = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="kinloom-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body(value)` with `value` computed once for a row.
 

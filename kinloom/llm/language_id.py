@@ -7,10 +7,11 @@ over a text's word scores, with a penalty for each switch of language, labels it
 spans. The prediction is the language with most letters, the score its share.
 
 Training is naive Bayes over hashed n-grams, on a bounded sample: of each language
-about `Training.docs_per_lang` documents, chosen by a hash of their id. Its size is
-(languages x buckets), whatever the corpus; it travels with the tasks. Prediction
-is one pass in Arrow batches without a shuffle; memory is bounded by a fixed number
-of characters or the longest text.
+about `Training.docs_per_lang` documents, chosen by a hash of their id, of the
+`Training.languages` languages with most. Its size is (languages x buckets),
+whatever the corpus; it travels with the tasks. Training and prediction read Arrow
+batches in parts, prediction without a shuffle; memory is bounded by a fixed number
+of bytes or the longest text.
 
 Defined results: null, empty or letterless texts are `und` with score 0, as is all
 if nothing could be learned; a word in a script that no language was seen to use
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import codepoints
-from .batches import map_texts
+from .batches import map_texts, parts
 from .common import table, unit_hash
 
 TRIGRAMS, BIGRAMS = 1 << 15, 1 << 12
@@ -40,6 +41,8 @@ BUCKETS = TRIGRAMS + BIGRAMS + len(codepoints.SCRIPTS)
 @dataclass(frozen=True)
 class Training:
     docs_per_lang: int = 1000
+    #: So many languages are learned at most: those with most labelled documents.
+    languages: int = 256
     smoothing: float = 0.5
     #: A language is a candidate in a script that holds this share of its letters.
     script_share: float = 0.01
@@ -94,16 +97,14 @@ def count(langs_and_texts: DataFrame) -> DataFrame:
     """lang, bucket, n: how often each language's texts have each n-gram or script."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part, texts in parts(batches, 1):
             by: dict[str, list[str]] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by.setdefault(lang, []).append(text or "")
-            for lang, texts in by.items():
-                n = np.zeros(BUCKETS, np.int64)
-                for k in range(0, len(texts), 200):
-                    w = words_of(codepoints.of_texts(texts[k : k + 200])[0])
-                    n += np.bincount(w.trigram, minlength=BUCKETS) + np.bincount(w.bigram, minlength=BUCKETS)
-                    n[TRIGRAMS + BIGRAMS :] += np.bincount(w.script, weights=w.ends - w.starts, minlength=len(codepoints.SCRIPTS)).astype(np.int64)
+            for lang, text in zip(part.column(0).to_pylist(), texts, strict=True):
+                by.setdefault(lang, []).append(text)
+            for lang, some in by.items():
+                w = words_of(codepoints.of_texts(some)[0])
+                n = np.bincount(w.trigram, minlength=BUCKETS) + np.bincount(w.bigram, minlength=BUCKETS)
+                n[TRIGRAMS + BIGRAMS :] += np.bincount(w.script, weights=w.ends - w.starts, minlength=len(codepoints.SCRIPTS)).astype(np.int64)
                 seen = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen)), pa.array(seen.astype(np.int32)), pa.array(n[seen])], names=["lang", "bucket", "n"])
 
@@ -114,7 +115,7 @@ def count(langs_and_texts: DataFrame) -> DataFrame:
 def sample(docs: DataFrame, training: Training) -> DataFrame:
     """The labelled documents to learn from, about `docs_per_lang` of each language."""
     may = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    per_lang = [(r["lang"], r["n"]) for r in may.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()]
+    per_lang = [(r["lang"], r["n"]) for r in may.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(training.languages).collect()]
     rate = F.lit(0.0)
     for lang, n in per_lang:
         rate = F.when(F.col("lang") == lang, F.lit(min(1.0, training.docs_per_lang / n))).otherwise(rate)

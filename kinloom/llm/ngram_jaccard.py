@@ -3,30 +3,37 @@
 Documents link when their sets of word shingles have a Jaccard similarity of at
 least p / q (`Join`: op8's query takes 3 words and 9 / 10). With sizes X and Y and
 overlap I that is (p + q) I >= p (X + Y): the overlap has a bound that follows from
-the sizes, and at most (X + Y) (q - p) / (p + q) shingles differ.
-
-Blocks of columns. The shingles' hash range is cut into more blocks than may
-differ, so two linked documents agree on a whole block. (Sizes fall into classes,
-each with its own number of blocks; a document near its class's upper end is cut
-for the next class, too.) Where more of a document's blocks hold shingles than may
-differ, it agrees with each linked one on such a block, so its empty blocks, which
-unrelated documents share, are left out. Only rows that agree on a block are
-multiplied: the product's other cells are below their bound.
-
-Rows. Documents with equal sets are one row. Of the rows that agree on a block, the
-one that agrees most often with others is the block's pivot and is multiplied with
-all of them, so a group's cost is linear in its size. Cells above the bound are
-links; linked rows merge. A block is done if its rows but the pivot are one
-component. What is left of small blocks is multiplied pair by pair. What is left of
-large ones takes a second cut: shingles ordered by how many of these rows
-have them, rows meet on one of their rarest shingles, and a pair is multiplied
-if its rows are of different components and the shingles passed so far leave enough
-for the bound. Nothing is capped or sampled: every pair that can link is linked
-or already connected when the last step ends.
-
-Shuffles carry block signatures and ids; texts are fetched only for rows that share
-a block. Blocks' counts, pivots and components are minima and counts with partial
-aggregates, and joins can be split where a key is hot.
+the sizes.
+
+The incidence matrix has a row for each distinct set and a column for each shingle
+(its hash). The product of the matrix with its transpose has the overlaps. It is
+made in three parts, each of which adds to a cell or discards it.
+
+Prefix columns form cells. Columns are put in one order, rare ones first: all
+shingles are counted in 2^`bits` ranges of hashes, and a column's place is the power
+of two of its range's count, then its hash. Any order is right, and rare first is
+cheap. A row's first n - ceil(n p / q) + 1 columns are its prefix, and two rows that
+link share a column of both prefixes. On the first such column, what is left of
+both must hold the bound. Of the rows that share a prefix column, the one that
+shares most with others is the column's pivot, and cells are formed for the pivot
+with each other row, so a group's cost is linear in its size. Cells above their bound
+are links; linked rows merge. A column is done if its rows but the pivot are one
+component. What is left of columns with few rows forms cells pair by pair. What is
+left of long columns is ordered again by exact counts among those rows, and a pair
+forms a cell where its rows are of different components and the bound is in reach.
+
+Blocks of columns bound cells. The range of hashes is cut into `blocks` blocks. A
+row has its number of shingles in each, and a cell's overlap is at most the sum of
+the lesser of both numbers; cells below their bound go before any product.
+
+Steps of blocks accumulate. The blocks are multiplied in `steps` steps; each adds
+the overlap in its blocks, and a cell goes when what it has and what the later blocks
+can still give are below its bound. Texts are fetched only for rows with a cell.
+Nothing is capped or sampled: every pair that can link is linked or already
+connected when the last step ends.
+
+Counts, pivots and components are minima, maxima and sums with partial aggregates,
+kept before they are joined to rows, so that a join can be split where a key is hot.
 
 Defined results: a null or wordless text has 0 shingles and only itself as its
 component; fewer words than a shingle's are one shingle; a row without doc_id has a null
@@ -39,15 +46,15 @@ from __future__ import annotations
 
 import gc
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import map_texts
+from .batches import map_texts, parts
 from .common import cut, table
 from .components import connected_components
 
@@ -61,10 +68,13 @@ class Join:
     #: The least Jaccard similarity of a link, as a fraction.
     p: int = 9
     q: int = 10
-    #: Blocks with more rows than this besides the pivot take the second cut.
+    #: Columns with more rows than this besides the pivot are ordered again.
     small_block: int = 8
-    #: Blocks are matched in this many passes, each over its share of the hashes, so that only a share is on disk at once.
-    passes: int = 4
+    #: Ranges of hashes that are counted for the order: 2 to this power, a byte each.
+    bits: int = 18
+    #: Blocks of columns (a power of two), and steps in which they are multiplied.
+    blocks: int = 64
+    steps: int = 4
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -93,44 +103,51 @@ def shingles(text: str, size: int = 3) -> np.ndarray:
     return np.unique(x)
 
 
-@lru_cache(1)
-def classes() -> np.ndarray:
-    """Lower ends of the classes of sizes: each about 1.4 times the one before."""
-    out = [1]
-    while out[-1] < 1 << 40:
-        out.append(out[-1] * 7 // 5 + 1)
-    return np.array(out)
-
-
-def signatures(s: np.ndarray, how: Join = Join()) -> np.ndarray:
-    """A hash for each block of a sorted set, of the set's class, block and content."""
-    n, low, p, q = len(s), classes(), how.p, how.q
-    level = int(np.searchsorted(low, n, side="right")) - 1
-    own, out = level, []
-    while level == own or q * n >= p * low[level]:
-        differ = 2 * (int(low[level + 1]) - 1) * (q - p) // (p + q)
-        blocks = differ + 1 + (differ + 7) // 8
-        edges = np.searchsorted(s, np.arange(1, blocks, dtype=U) * U(((1 << 64) - 1) // blocks))
-        at = np.concatenate(([0], edges, [n]))
-        total = np.concatenate((np.zeros(1, U), np.cumsum(mixed(s ^ P3))))
-        hashes = mixed(mixed(np.diff(total[at]) + U(level * int(P1) % (1 << 64))) + np.arange(blocks, dtype=U) * P3)
-        filled = np.diff(at) > 0
-        # A linked set has at most q / p of this one's size, so no more than n (q - p) / p shingles differ.
-        out.append(hashes[filled] if filled.sum() > min(differ, n * (q - p) // p) else hashes)
-        level += 1
-    return np.concatenate(out).view(np.int64)
-
-
-def _rows(how: Join) -> Callable[[], Callable[[list[str]], list[tuple]]]:
+def levels(docs: DataFrame, how: Join) -> np.ndarray:
+    """The power of two of each hash range's count, over all documents; 2^bits bytes."""
+    size, shift, n = how.shingle, U(64 - how.bits), 1 << how.bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n, np.int64)
+        for _, texts in parts(batches, 0):
+            total += np.bincount((np.concatenate([shingles(t, size) for t in texts]) >> shift).astype(np.int64), minlength=n)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["range", "n"])
+
+    counted = docs.select("text").mapInArrow(run, "range int, n long").groupBy("range").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(n, np.uint8)
+    out[counted["range"].to_numpy(np.int64)] = np.log2(counted["n"].to_numpy(np.float64)).astype(np.uint8)
+    return out
+
+
+def prefix(s: np.ndarray, level: np.ndarray, how: Join) -> np.ndarray:
+    """The first n - ceil(n p / q) + 1 of a sorted set, in the order of all columns."""
+    place = level[(s >> U(64 - how.bits)).astype(np.int64)]
+    return s[np.argsort(place, kind="stable")[: len(s) - -(-len(s) * how.p // how.q) + 1]]
+
+
+def _rows(how: Join, level: np.ndarray) -> Callable[[], Callable[[list[str]], list[tuple]]]:
+    shift = U(65 - how.blocks.bit_length())
+
     def row(text: str) -> tuple:
         s = shingles(text, how.shingle)
-        return (len(s), hashlib.md5(s.tobytes()).digest(), signatures(s, how)) if len(s) else (0, None, None)
+        if not len(s):
+            return 0, None, None, None
+        sizes = np.bincount((s >> shift).astype(np.int64), minlength=how.blocks)
+        return len(s), hashlib.md5(s.tobytes()).digest(), prefix(s, level, how).view(np.int64), sizes.astype(np.int32)
 
     return lambda: lambda texts: [row(t) for t in texts]
 
 
-def _sets(size: int) -> Callable[[], Callable[[list[str]], list[tuple]]]:
-    return lambda: lambda texts: [(shingles(t, size).view(np.int64),) for t in texts]
+def _sets(how: Join) -> Callable[[], Callable[[list[str]], list[tuple]]]:
+    """A text's set, cut into its steps."""
+    edges = np.array([((1 << 64) * k // how.steps) for k in range(1, how.steps)], U)
+
+    def row(text: str) -> tuple:
+        s = shingles(text, how.shingle)
+        return tuple(x.view(np.int64) for x in np.split(s, np.searchsorted(s, edges)))
+
+    return lambda: lambda texts: [row(t) for t in texts]
 
 
 def release(spark: SparkSession) -> None:
@@ -139,16 +156,37 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def compatible(how: Join, x: str = "na", y: str = "nb"):
-    """Whether the sizes alone leave the bound within reach."""
-    return (F.least(x, y) * how.q) >= (F.greatest(x, y) * how.p)
+def reached(overlap: Column, how: Join) -> Column:
+    """Whether the overlap of rows of sizes `na` and `nb` reaches its bound."""
+    return overlap * (how.p + how.q) >= (F.col("na") + F.col("nb")) * how.p
 
 
-def multiplied(pairs: DataFrame, sets: DataFrame, how: Join) -> DataFrame:
-    """The pairs (a, b) whose overlap reaches its bound."""
-    left, right = (sets.select(F.col("rep").alias(x), F.col("set").alias(f"s{x}")) for x in "ab")
-    overlap = F.size(F.array_intersect("sa", "sb")).cast("bigint")
-    return pairs.select("a", "b").join(left, "a").join(right, "b").filter(overlap * (how.p + how.q) >= (F.size("sa").cast("bigint") + F.size("sb")) * how.p).select("a", "b")
+def total(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0).cast("bigint"), lambda acc, y: acc + y)
+
+
+def bounded(pairs: DataFrame, reps: DataFrame, how: Join) -> DataFrame:
+    """(a, b, na, nb, most) of the cells that their blocks' sizes leave within reach.
+
+    most: what the blocks of each step can give at most.
+    """
+    left, right = (reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sizes").alias(f"z{x}")) for x in "ab")
+    least = F.zip_with("za", "zb", lambda x, y: F.least(x, y))
+    each = how.blocks // how.steps
+    both = pairs.select("a", "b").join(left, "a").join(right, "b").withColumn("least", least)
+    both = both.withColumn("most", F.array(*[total(F.slice("least", k * each + 1, each)) for k in range(how.steps)]))
+    return both.filter(reached(total(F.col("most")), how)).select("a", "b", "na", "nb", "most")
+
+
+def multiplied(cells: DataFrame, sets: DataFrame, how: Join) -> DataFrame:
+    """The cells (a, b) whose overlap, accumulated step by step, reaches its bound."""
+    so_far = cells.withColumn("overlap", F.lit(0).cast("bigint"))
+    for k in range(how.steps):
+        left, right = (sets.select(F.col("rep").alias(x), F.col(f"s{k}").alias(f"s{x}")) for x in "ab")
+        got = F.col("overlap") + F.size(F.array_intersect("sa", "sb"))
+        so_far = so_far.join(left, "a").join(right, "b").withColumn("overlap", got).drop("sa", "sb")
+        so_far = so_far.filter(reached(F.col("overlap") + total(F.slice("most", k + 2, how.steps)), how))
+    return so_far.select("a", "b")
 
 
 def with_component(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -156,82 +194,83 @@ def with_component(rows: DataFrame, links: DataFrame) -> DataFrame:
     return rows.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
 
-def rarest_first(large: DataFrame, sets: DataFrame, how: Join) -> DataFrame:
-    """Pairs of different components that the second cut leaves.
+def met(rows: DataFrame, how: Join) -> DataFrame:
+    """Pairs (a < b) of different components that share a column s, where the bound is in reach.
 
-    large: (rep, n, component), distinct.
+    rows: (s, rep, n, pos, component); pos is the column's place in the row's order, from 0.
     """
-    entries = large.join(sets, "rep").select("rep", "n", "component", F.explode("set").alias("s"))
-    often = entries.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
+    a, b = (rows.select("s", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}"), F.col("pos").alias(f"p{x}")) for x in "ab")
+    rest = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    return a.join(b, (a["s"] == b["s"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & reached(rest, how)).select("a", "b")
+
+
+def rarest_first(rows: DataFrame, sets: DataFrame, how: Join) -> DataFrame:
+    """Pairs that the prefixes by exact counts among `rows` (rep, n, component; distinct) leave."""
+    whole = F.concat(*[F.col(f"s{k}") for k in range(how.steps)])
+    entries = cut(rows.join(sets, "rep").select("rep", "n", "component", F.explode(whole).alias("s")))
+    often = cut(entries.groupBy("s").agg(F.count(F.lit(1)).alias("df")))
     ordered = entries.join(often, "s").groupBy("rep", "n", "component").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("es"))
-    # Any p / q of a set meets its first n - ceil(n p / q) + 1 shingles, in any order that all sets share.
-    prefix = F.slice("es", F.lit(1), (F.col("n") - F.ceil(F.col("n") * how.p / how.q) + 1).cast("int"))
-    p = ordered.select("rep", "n", "component", F.posexplode(prefix).alias("pos", "e")).filter("e.df > 1")
-    p = cut(p.select("rep", "n", "component", "pos", F.col("e.s").alias("s")))
-    a, b = (p.select("s", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}"), F.col("pos").alias(f"p{x}")) for x in "ab")
-    left = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    able = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & compatible(how) & (left * (how.p + how.q) >= (F.col("na") + F.col("nb")) * how.p)
-    return a.join(b, (a["s"] == b["s"]) & able).select("a", "b").distinct()
+    first = F.slice("es", F.lit(1), (F.col("n") - F.ceil(F.col("n") * how.p / how.q) + 1).cast("int"))
+    p = ordered.select("rep", "n", "component", F.posexplode(first).alias("pos", "e")).filter("e.df > 1")
+    return met(cut(p.select("rep", "n", "component", "pos", F.col("e.s").alias("s"))), how)
 
 
 def represented(every: DataFrame, groups: DataFrame) -> DataFrame:
-    """(rep, n, blocks): one row for each group of equal sets."""
+    """(rep, n, prefix, sizes): one row for each group of equal sets."""
     reps = every.join(groups.select(F.col("rep").alias("doc_id"), "set_hash"), ["doc_id", "set_hash"], "left_semi").dropDuplicates(["doc_id", "set_hash"])
-    return cut(reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "blocks"))
-
-
-def agreeing(reps: DataFrame, how: Join) -> DataFrame:
-    """(block, rep, n, rows): the blocks on which at least two rows agree."""
-    out = None
-    for k in range(how.passes):
-        blocks = reps.select("rep", "n", F.explode("blocks").alias("block")).filter(F.pmod("block", F.lit(how.passes)) == k)
-        agreed = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-        part = cut(blocks.join(agreed.hint("shuffle_hash"), "block"))
-        out = part if out is None else out.union(part)
-        release(reps.sparkSession)
-    return out
+    return cut(reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "prefix", "sizes"))
+
+
+def sharing(reps: DataFrame) -> DataFrame:
+    """(s, rep, n, pos, rows): the prefix columns that at least two rows share."""
+    entries = reps.select("rep", "n", F.posexplode("prefix").alias("pos", "s"))
+    often = cut(entries.groupBy("s").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1"))
+    return cut(entries.join(often, "s"))
 
 
 def pivoted(shared: DataFrame) -> DataFrame:
-    """Adds each block's pivot, the row that agrees most often with others, and its size."""
-    weight = shared.groupBy("rep").agg(F.sum("rows").alias("weight"))
-    pivots = shared.join(weight, "rep").groupBy("block").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"), "n")).alias("p"))
-    return cut(shared.join(pivots.select("block", (-F.col("p.minus")).alias("pivot"), F.col("p.n").alias("np")), "block"))
+    """Adds each column's pivot, the row that shares most with others, its size and place."""
+    weight = cut(shared.groupBy("rep").agg(F.sum("rows").alias("weight")))
+    own = F.struct("weight", (-F.col("rep")).alias("minus"), "n", "pos")
+    pivots = cut(shared.join(weight, "rep").groupBy("s").agg(F.max(own).alias("p")))
+    return cut(shared.join(pivots.select("s", (-F.col("p.minus")).alias("pivot"), F.col("p.n").alias("np"), F.col("p.pos").alias("pp")), "s"))
+
 
+def starred(shared: DataFrame, how: Join) -> DataFrame:
+    """Cells (a, b) of each row with its columns' pivots."""
+    rest = F.least(F.col("na") - F.col("pos"), F.col("nb") - F.col("pp"))
+    cells = shared.filter(F.col("rep") != F.col("pivot")).withColumnsRenamed({"rep": "a", "pivot": "b", "n": "na", "np": "nb"})
+    return cells.filter(reached(rest, how)).select("a", "b").distinct()
 
-def fetched(docs: DataFrame, one: DataFrame, shared: DataFrame, how: Join) -> DataFrame:
-    """(rep, set) of the rows that share a block, from their texts."""
-    reps = shared.select(F.col("rep").alias("doc_id")).distinct()
-    wanted = one.join(reps, "doc_id", "left_semi").select("doc_id", "version")
-    texts = docs.withColumn("version", version(F.col("text"))).join(wanted, ["doc_id", "version"], "left_semi").dropDuplicates(["doc_id", "version"])
-    return cut(map_texts(texts, _sets(how.shingle), "set array<long>", keep=["doc_id"]).withColumnRenamed("doc_id", "rep"))
 
+def fetched(docs: DataFrame, one: DataFrame, wanted: DataFrame, how: Join) -> DataFrame:
+    """(rep, s0, s1, ...): the sets of the wanted rows in steps, from their texts."""
+    named = one.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "version")
+    texts = docs.withColumn("version", version(F.col("text"))).join(named, ["doc_id", "version"], "left_semi").dropDuplicates(["doc_id", "version"])
+    added = ", ".join(f"s{k} array<long>" for k in range(how.steps))
+    return cut(map_texts(texts, _sets(how), added, keep=["doc_id"]).withColumnRenamed("doc_id", "rep"))
 
-def version(text):
+
+def version(text: Column) -> Column:
     """Tells apart the texts of one doc_id."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def unfinished(shared: DataFrame, links: DataFrame) -> DataFrame:
-    """(block, rep, n, rows, component) of blocks whose rows besides the pivot are of several components."""
-    rest = cut(with_component(shared.filter(F.col("rep") != F.col("pivot")).select("block", "rep", "n", "rows"), links))
-    several = rest.groupBy("block").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("block")
-    return cut(rest.join(several, "block"))
-
-
-def left_over(rest: DataFrame, sets: DataFrame, how: Join) -> DataFrame:
-    """Pairs of unfinished blocks that the pivots' products don't settle."""
-    small, large = rest.filter(F.col("rows") - 1 <= how.small_block), rest.filter(F.col("rows") - 1 > how.small_block)
-    a, b = (small.select("block", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
-    few = a.join(b, (a["block"] == b["block"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & compatible(how)).select("a", "b")
-    return cut(few.union(rarest_first(large.select("rep", "n", "component").distinct(), sets, how)).distinct())
+    """(s, rep, n, pos, rows, component) of columns whose rows besides the pivot are of several components."""
+    rest = cut(with_component(shared.filter(F.col("rep") != F.col("pivot")).select("s", "rep", "n", "pos", "rows"), links))
+    several = cut(rest.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("s"))
+    return cut(rest.join(several, "s"))
 
 
 def linked(docs: DataFrame, how: Join = Join()) -> DataFrame:
-    """One row a row of `docs`: doc_id, version (of its text), n_shingles, component_id."""
+    """One row a row of `docs`: doc_id, version (of its text), n_shingles, component_id, stands.
+
+    stands: whether the row's text is the one that stands for its doc_id.
+    """
     spark, docs = docs.sparkSession, docs.select("doc_id", "text")
     rows = docs.withColumn("version", version(F.col("text")))
-    every = cut(map_texts(rows, _rows(how), "n_shingles long, set_hash binary, blocks array<long>", keep=["doc_id", "version"]))
+    every = cut(map_texts(rows, _rows(how, levels(docs, how)), "n_shingles long, set_hash binary, prefix array<long>, sizes array<int>", keep=["doc_id", "version"]))
     brief = cut(every.select("doc_id", "version", "n_shingles", "set_hash"))
     first = brief.filter("doc_id IS NOT NULL AND set_hash IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("set_hash", "version")).alias("m"))
     one = cut(first.select("doc_id", "m.set_hash", "m.version"))
@@ -239,25 +278,33 @@ def linked(docs: DataFrame, how: Join = Join()) -> DataFrame:
     reps = represented(every, groups)
     del every, rows
     release(spark)
-    shared = agreeing(reps, how)
-    del reps
-    release(spark)
-    shared = pivoted(shared)
+    shared = pivoted(sharing(reps))
     release(spark)
-    sets = fetched(docs, one, shared, how)
-    release(spark)
-    star = shared.filter(F.col("rep") != F.col("pivot")).filter(compatible(how, "n", "np")).select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
+    star = cut(bounded(starred(shared, how), reps, how))
+    sets = fetched(docs, one, star.select(F.explode(F.array("a", "b")).alias("rep")), how)
     links = cut(multiplied(star, sets, how))
+    del star, sets
+    release(spark)
+    rest = unfinished(shared, links)
+    del shared
+    large = cut(rest.filter(F.col("rows") - 1 > how.small_block).select("rep", "n", "component").distinct())
+    pairs = met(rest.filter(F.col("rows") - 1 <= how.small_block), how)
+    if not large.isEmpty():
+        pairs = pairs.union(rarest_first(large, fetched(docs, one, large, how), how))
+    cells = cut(bounded(pairs.distinct(), reps, how))
+    del rest, large, pairs, reps
     release(spark)
-    pairs = left_over(unfinished(shared, links), sets, how)
+    if not cells.isEmpty():
+        sets = fetched(docs, one, cells.select(F.explode(F.array("a", "b")).alias("rep")), how)
+        links = cut(links.union(multiplied(cells, sets, how)))
+        del sets
+    del cells
     release(spark)
-    links = cut(links.union(multiplied(pairs, sets, how)))
-    del shared, star, pairs, sets
     found = connected_components(links).withColumnRenamed("node", "rep")
     by_hash = groups.join(found, "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component_id"))
-    by_doc = one.join(by_hash, "set_hash").select("doc_id", "component_id")
+    by_doc = one.join(by_hash, "set_hash").select("doc_id", "component_id", F.col("version").alias("own"))
     out = brief.select("doc_id", "version", "n_shingles").join(by_doc, "doc_id", "left")
-    return out.select("doc_id", "version", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "version", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.col("version") == F.col("own"), F.lit(True)).alias("stands"))
 
 
 def join(docs: DataFrame, how: Join = Join()) -> DataFrame:
@@ -268,12 +315,13 @@ def join(docs: DataFrame, how: Join = Join()) -> DataFrame:
 def representatives(docs: DataFrame, how: Join = Join()) -> DataFrame:
     """The rows of `docs` that stay: of each component, one of the smallest doc_id.
 
-    Rows without doc_id stay. Of one id's different texts one stays.
+    Of one id's different texts that stays which was compared. Rows without doc_id
+    aren't compared; of those with equal texts one stays.
     """
-    stay = cut(linked(docs, how).filter("component_id = doc_id").groupBy("doc_id").agg(F.min("version").alias("__version")))
+    stay = cut(linked(docs, how).filter("component_id = doc_id AND stands").groupBy("doc_id").agg(F.min("version").alias("__version")))
     release(docs.sparkSession)
     named = docs.withColumn("__version", version(F.col("text"))).join(stay, ["doc_id", "__version"], "left_semi").dropDuplicates(["doc_id", "__version"])
-    return named.drop("__version").unionByName(docs.filter("doc_id IS NULL"))
+    return named.drop("__version").unionByName(docs.filter("doc_id IS NULL").dropDuplicates(["text"]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
