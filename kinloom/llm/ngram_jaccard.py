@@ -14,13 +14,13 @@ shingles are counted in 2^`bits` ranges of hashes, and a column's place is the p
 of two of its range's count, then its hash. Any order is right, and rare first is
 cheap. A row's first n - ceil(n p / q) + 1 columns are its prefix, and two rows that
 link share a column of both prefixes. On the first such column, what is left of
-both must hold the bound. Of the rows that share a prefix column, the one that
-shares most with others is the column's pivot, and cells are formed for the pivot
-with each other row, so a group's cost is linear in its size. Cells above their bound
-are links; linked rows merge. A column is done if its rows but the pivot are one
-component. What is left of columns with few rows forms cells pair by pair. What is
-left of long columns is ordered again by exact counts among those rows, and a pair
-forms a cell where its rows are of different components and the bound is in reach.
+both must hold the bound. A column with few rows forms a cell of each two of them.
+In a longer one, the row that shares most with others is the column's pivot, and
+cells are formed for the pivot with each other row, so a group's cost is linear in
+its size. Cells above their bound are links; linked rows merge. A long column is done
+if its rows but the pivot are one component. What is left of long columns is ordered
+again by exact counts among those rows, and a pair forms a cell where its rows are of
+different components and the bound is in reach.
 
 Blocks of columns bound cells. The range of hashes is cut into `blocks` blocks. A
 row has its number of shingles in each, and a cell's overlap is at most the sum of
@@ -68,10 +68,10 @@ class Join:
     #: The least Jaccard similarity of a link, as a fraction.
     p: int = 9
     q: int = 10
-    #: Columns with more rows than this besides the pivot are ordered again.
-    small_block: int = 8
+    #: In columns of at most so many rows, cells are formed for each two of them.
+    small_block: int = 64
     #: Ranges of hashes that are counted for the order: 2 to this power, a byte each.
-    bits: int = 18
+    bits: int = 22
     #: Blocks of columns (a power of two), and steps in which they are multiplied.
     blocks: int = 64
     steps: int = 4
@@ -103,21 +103,39 @@ def shingles(text: str, size: int = 3) -> np.ndarray:
     return np.unique(x)
 
 
+#: Rows in which a task gives its counts of hash ranges.
+SLICES = 64
+
+
 def levels(docs: DataFrame, how: Join) -> np.ndarray:
-    """The power of two of each hash range's count, over all documents; 2^bits bytes."""
+    """The power of two of each hash range's count, over all documents; 2^bits bytes.
+
+    A task counts in one array and gives it compressed, in slices; slices are summed.
+    """
     size, shift, n = how.shingle, U(64 - how.bits), 1 << how.bits
+    each = n // SLICES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n, np.int64)
         for _, texts in parts(batches, 0):
-            total += np.bincount((np.concatenate([shingles(t, size) for t in texts]) >> shift).astype(np.int64), minlength=n)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["range", "n"])
-
-    counted = docs.select("text").mapInArrow(run, "range int, n long").groupBy("range").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(n, np.uint8)
-    out[counted["range"].to_numpy(np.int64)] = np.log2(counted["n"].to_numpy(np.float64)).astype(np.uint8)
-    return out
+            np.add.at(total, (np.concatenate([shingles(t, size) for t in texts]) >> shift).astype(np.int64), 1)
+        told = [pa.compress(total[k : k + each], codec="zstd", asbytes=True) for k in range(0, n, each)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(told, pa.binary())], names=["slice", "n"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, told in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                got = np.frombuffer(pa.decompress(told.as_buffer(), each * 8, codec="zstd"), np.int64)
+                total[k] = total.get(k, 0) + got
+        level = [np.log2(np.maximum(x, 1)).astype(np.uint8).tobytes() for x in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(level, pa.binary())], names=["slice", "level"])
+
+    told = docs.select("text").mapInArrow(run, "slice int, n binary").repartition("slice").mapInArrow(summed, "slice int, level binary")
+    out = np.zeros((SLICES, each), np.uint8)
+    for row in told.collect():
+        out[row["slice"]] = np.frombuffer(row["level"], np.uint8)
+    return out.ravel()
 
 
 def prefix(s: np.ndarray, level: np.ndarray, how: Join) -> np.ndarray:
@@ -263,6 +281,12 @@ def unfinished(shared: DataFrame, links: DataFrame) -> DataFrame:
     return cut(rest.join(several, "s"))
 
 
+def product(docs: DataFrame, one: DataFrame, cells: DataFrame, how: Join) -> DataFrame:
+    """The cells (a, b) that are links."""
+    sets = fetched(docs, one, cells.select(F.explode(F.array("a", "b")).alias("rep")), how)
+    return cut(multiplied(cells, sets, how))
+
+
 def linked(docs: DataFrame, how: Join = Join()) -> DataFrame:
     """One row a row of `docs`: doc_id, version (of its text), n_shingles, component_id, stands.
 
@@ -278,27 +302,22 @@ def linked(docs: DataFrame, how: Join = Join()) -> DataFrame:
     reps = represented(every, groups)
     del every, rows
     release(spark)
-    shared = pivoted(sharing(reps))
-    release(spark)
-    star = cut(bounded(starred(shared, how), reps, how))
-    sets = fetched(docs, one, star.select(F.explode(F.array("a", "b")).alias("rep")), how)
-    links = cut(multiplied(star, sets, how))
-    del star, sets
+    shared = sharing(reps)
     release(spark)
-    rest = unfinished(shared, links)
-    del shared
-    large = cut(rest.filter(F.col("rows") - 1 > how.small_block).select("rep", "n", "component").distinct())
-    pairs = met(rest.filter(F.col("rows") - 1 <= how.small_block), how)
-    if not large.isEmpty():
-        pairs = pairs.union(rarest_first(large, fetched(docs, one, large, how), how))
-    cells = cut(bounded(pairs.distinct(), reps, how))
-    del rest, large, pairs, reps
+    few = shared.filter(F.col("rows") <= how.small_block).withColumn("component", F.col("rep"))
+    many = pivoted(shared.filter(F.col("rows") > how.small_block))
+    cells = cut(bounded(met(few, how).union(starred(many, how)).distinct(), reps, how))
+    links = product(docs, one, cells, how)
+    del shared, few, cells
     release(spark)
-    if not cells.isEmpty():
-        sets = fetched(docs, one, cells.select(F.explode(F.array("a", "b")).alias("rep")), how)
-        links = cut(links.union(multiplied(cells, sets, how)))
-        del sets
-    del cells
+    rest = unfinished(many, links)
+    if not rest.isEmpty():
+        rest = cut(rest.select("rep", "n", "component").distinct())
+        pairs = rarest_first(rest, fetched(docs, one, rest, how), how)
+        cells = cut(bounded(pairs.distinct(), reps, how))
+        links = cut(links.union(product(docs, one, cells, how)))
+        del pairs, cells
+    del many, rest, reps
     release(spark)
     found = connected_components(links).withColumnRenamed("node", "rep")
     by_hash = groups.join(found, "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component_id"))
