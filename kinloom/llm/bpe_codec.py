@@ -3,15 +3,16 @@
 For a byte-pair vocabulary each prefix of a word has one last token: the last one
 of the prefix's own encoding. It is the token `t` that ends the prefix, such that
 the prefix without `t` ends in a token `s` and (`s`, `t`) encodes to itself. So a
-depth-first walk over a trie of the distinct words finds the last token of each
-prefix once, however many words share it, from those of the nodes above; a word's
-encoding is read back along its last tokens. The final symbol of a word carries
-the end-of-word mark and is a leaf of its own.
+depth-first walk over a trie of the distinct words (they are inserted in order)
+finds the last token of each prefix once, however many words share it, from those of
+the nodes above; a word's encoding is read back along its last tokens. The final
+symbol of a word carries the end-of-word mark.
 
-Words are encoded once in a task and looked up after that; the table of known
-words is bounded and begun anew when full. One pass over the texts in Arrow
-batches, no shuffle; memory is bounded by the table, a fixed number of characters
-and the longest text.
+The trie stays in a process from one batch to the next, and words are encoded once
+and looked up after that; the trie and the table of known words are bounded and begun
+anew when full. Decoding goes from ids to the tokens' texts. One pass over the texts
+in Arrow batches, no shuffle; memory is bounded by both tables, a fixed number of
+bytes and the longest text.
 
 Defined results: a null text counts as empty and an empty one has no tokens;
 special tokens' strings in a text become those tokens; repeated rows give
@@ -33,8 +34,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .batches import map_texts
 from .common import table
 
-#: Known words a process keeps, and pairs of tokens whose validity it keeps.
-WORDS_KEPT, PAIRS_KEPT = 400_000, 200_000
+#: Known words a process keeps, nodes of its trie, and pairs of tokens whose validity it keeps.
+WORDS_KEPT, NODES_KEPT, PAIRS_KEPT = 400_000, 600_000, 200_000
 NEVER = 1 << 60
 #: Below this code point, lower case and composed, Python and the library agree on letters and numbers.
 PLAIN_BELOW = "ɐ"
@@ -69,8 +70,11 @@ class Codec:
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r\x20\x85\xa0\p{L}\p{N}]+").findall
         self.symbol = byte_symbols()
         self.byte = {c: b for b, c in enumerate(self.symbol)}
-        self.known: dict[str, tuple[bytes, str]] = {}
+        self.known: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
+        #: The trie: the node below a node by a character, and the last token of each node's prefix. The root is 0.
+        self.nodes: dict[int, int] = {}
+        self.last = [""]
 
     def meets(self, a: str, b: str, until: int) -> bool:
         """Whether no merge across the boundary of `a` and `b` comes before `until`.
@@ -96,43 +100,39 @@ class Codec:
         got = self.pairs[before, token] = not before or self.meets(before, token, NEVER)
         return got
 
+    def ending(self, symbols: str, way: list[int], upto: int, end: str) -> tuple[int, str]:
+        """Start and text of the last token of symbols[:upto]; way: the nodes of the shorter prefixes."""
+        last, whole, pairs = self.last, self.whole, self.pairs
+        for k in range(max(0, upto - self.longest), upto):
+            token = symbols[k:upto] + end
+            if token in whole and ((ok := pairs.get((last[way[k]], token))) or ok is None and self.follows(last[way[k]], token)):
+                return k, token
+        raise ValueError(f"no token of the vocabulary ends {symbols[:upto]!r}")
+
     def learn(self, words: set[str]) -> None:
-        """Encodes words that aren't known yet."""
-        root: dict = {}
-        symbol, end = self.symbol, self.end
-        for w in words:
-            node, symbols = root, w if w.isascii() and w.isprintable() else [symbol[b] for b in w.encode()]
+        """Encodes words that aren't known yet, in their order, which walks the trie depth first."""
+        if len(self.last) > NODES_KEPT:
+            self.nodes.clear()
+            del self.last[1:]
+        nodes, last, symbol, ending = self.nodes, self.last, self.symbol, self.ending
+        for w in sorted(words):
+            symbols = w if w.isascii() and w.isprintable() else "".join([symbol[b] for b in w.encode()])
+            node, way = 0, [0]
             for c in symbols[:-1]:
-                if (below := node.get(c)) is None:
-                    below = node[c] = {}
+                below = nodes.get(key := node << 21 | ord(c))
+                if below is None:
+                    token = ending(symbols, way, len(way), "")[1]
+                    below = nodes[key] = len(last)
+                    last.append(token)
                 node = below
-            node[symbols[-1] + end] = w
-        # A stack instead of recursion. `last` has the last token of each prefix of the current path, of which only the end is needed as text.
-        last, known, whole, pairs, follows, longest = [""], self.known, self.whole, self.pairs, self.follows, self.longest
-        stack = [(0, "", c, below) for c, below in root.items()]
-        while stack:
-            depth, path, c, below = stack.pop()
-            leaf = isinstance(below, str)
-            del last[depth + 1 :]
-            first = max(0, depth + 1 - longest)
-            path += c
-            for k in range(depth + 1 - first):
-                token = path[k:]
-                if token in whole and ((ok := pairs.get((last[first + k], token))) or ok is None and follows(last[first + k], token)):
-                    break
-            else:
-                raise ValueError(f"no token of the vocabulary ends {path!r}")
-            if not leaf:
-                last.append(token)
-                path = path[1 - longest :]
-                stack += [(depth + 1, path, d, x) for d, x in below.items()]
-                continue
-            out, at = [token], first + k
+                way.append(node)
+            at, token = ending(symbols, way, len(symbols), self.end)
+            out = [token]
             while at:
-                out.append(t := last[at])
+                out.append(t := last[way[at]])
                 at -= len(t)
             out.reverse()
-            known[below] = pack(f"<{len(out)}I", *map(self.ids.__getitem__, out)), " ".join(out)
+            self.known[w] = pack(f"<{len(out)}I", *map(self.ids.__getitem__, out))
 
     def split(self, text: str) -> list[str]:
         """The text's words, in lower case and composed form."""
@@ -141,8 +141,8 @@ class Codec:
         found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
         return [bytes(map(self.byte.__getitem__, w)).decode() for w, _ in found]
 
-    def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
-        """For each text its ids, 4 bytes each, and its decoded text."""
+    def ids_of(self, texts: list[str]) -> list[bytes]:
+        """For each text its ids, 4 bytes each."""
         cut = []
         for t in texts:
             if self.split_special and "<|" in t and len(parts := self.split_special.split(t)) > 1:
@@ -152,20 +152,19 @@ class Codec:
         if len(self.known) > WORDS_KEPT:
             self.known.clear()
         for s, i in self.special.items():
-            self.known[s] = pack("<I", i), s
+            self.known[s] = pack("<I", i)
         if new := set().union(*cut).difference(self.known):
             self.learn(new)
-        out = []
-        for words in cut:
-            got = [*map(self.known.__getitem__, words)]
-            out.append((b"".join([g[0] for g in got]), " ".join([g[1] for g in got])))
-        return out
+        known = self.known.__getitem__
+        return [b"".join(map(known, words)) for words in cut]
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
+        """For each text its ids, 4 bytes each, and what they decode to."""
+        return [(ids, self.decode(ids)) for ids in self.ids_of(texts)]
 
     def decode(self, ids: bytes) -> str:
         """As the library decodes without a decoder: tokens joined with a space."""
-        import numpy as np
-
-        return " ".join([self.tokens[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        return " ".join(map(self.tokens.__getitem__, memoryview(ids).cast("I").tolist()))
 
 
 def byte_symbols() -> list[str]:
@@ -200,7 +199,7 @@ def _ids(path: str) -> Callable[[], Callable[[list[str]], list[tuple]]]:
         import numpy as np
 
         c = codec(path)
-        return lambda texts: [(np.frombuffer(ids, "<u4").astype("i4"),) for ids, _ in c.encode(texts)]
+        return lambda texts: [(np.frombuffer(ids, "<u4").astype("i4"),) for ids in c.ids_of(texts)]
 
     return make
 
