@@ -28,7 +28,8 @@ the lesser of both numbers; cells below their bound go before any product.
 
 Steps of blocks accumulate. The blocks are multiplied in `steps` steps; each adds
 the overlap in its blocks, and a cell goes when what it has and what the later blocks
-can still give are below its bound. Texts are fetched only for rows with a cell.
+can still give are below its bound. Texts are fetched once, for rows with a cell or
+in a long column.
 Nothing is capped or sampled: every pair that can link is linked or already
 connected when the last step ends.
 
@@ -48,6 +49,7 @@ import gc
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -83,24 +85,36 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
-def shingles(text: str, size: int = 3) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of the text's shingles.
+def sets_of(texts: list[str], size: int = 3) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its shingles.
 
     bytes.lower and bytes.split treat exactly A-Z and the six white spaces.
     """
     from xxhash import xxh64_intdigest as h64
 
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, U)
-    h = np.array([h64(w) for w in words], U)
-    n = len(h) - size + 1
-    if n < 1:
-        n, size = 1, len(h)
+    words = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
+    ends = np.cumsum([len(w) for w in words], dtype=np.int64).tolist()
+    h = np.fromiter(map(h64, chain.from_iterable(words)), U, ends[-1] if ends else 0)
+    x = chained(h, size)
+    out = []
+    for start, end in zip([0, *ends], ends, strict=False):
+        n = end - start
+        s = np.sort(x[start : end - size + 1] if n >= size else chained(h[start:end], n) if n else x[:0])
+        out.append(s[np.flatnonzero(np.diff(s, prepend=~s[:1]))])
+    return out
+
+
+def chained(h: np.ndarray, size: int) -> np.ndarray:
+    """The hash of each `size` hashes that follow each other."""
+    n = max(0, len(h) - size + 1)
     x = np.full(n, size, U)
     for k in range(size):
         x = mixed(x * P3 + h[k : k + n])
-    return np.unique(x)
+    return x
+
+
+def shingles(text: str, size: int = 3) -> np.ndarray:
+    return sets_of([text], size)[0]
 
 
 #: Rows in which a task gives its counts of hash ranges.
@@ -118,7 +132,7 @@ def levels(docs: DataFrame, how: Join) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n, np.int64)
         for _, texts in parts(batches, 0):
-            np.add.at(total, (np.concatenate([shingles(t, size) for t in texts]) >> shift).astype(np.int64), 1)
+            np.add.at(total, (np.concatenate(sets_of(texts, size)) >> shift).astype(np.int64), 1)
         told = [pa.compress(total[k : k + each], codec="zstd", asbytes=True) for k in range(0, n, each)]
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(told, pa.binary())], names=["slice", "n"])
 
@@ -147,25 +161,19 @@ def prefix(s: np.ndarray, level: np.ndarray, how: Join) -> np.ndarray:
 def _rows(how: Join, level: np.ndarray) -> Callable[[], Callable[[list[str]], list[tuple]]]:
     shift = U(65 - how.blocks.bit_length())
 
-    def row(text: str) -> tuple:
-        s = shingles(text, how.shingle)
+    def row(s: np.ndarray) -> tuple:
         if not len(s):
             return 0, None, None, None
         sizes = np.bincount((s >> shift).astype(np.int64), minlength=how.blocks)
         return len(s), hashlib.md5(s.tobytes()).digest(), prefix(s, level, how).view(np.int64), sizes.astype(np.int32)
 
-    return lambda: lambda texts: [row(t) for t in texts]
+    return lambda: lambda texts: [row(s) for s in sets_of(texts, how.shingle)]
 
 
 def _sets(how: Join) -> Callable[[], Callable[[list[str]], list[tuple]]]:
     """A text's set, cut into its steps."""
     edges = np.array([((1 << 64) * k // how.steps) for k in range(1, how.steps)], U)
-
-    def row(text: str) -> tuple:
-        s = shingles(text, how.shingle)
-        return tuple(x.view(np.int64) for x in np.split(s, np.searchsorted(s, edges)))
-
-    return lambda: lambda texts: [row(t) for t in texts]
+    return lambda: lambda texts: [([x.view(np.int64) for x in np.split(s, np.searchsorted(s, edges))],) for s in sets_of(texts, how.shingle)]
 
 
 def release(spark: SparkSession) -> None:
@@ -184,27 +192,29 @@ def total(x: Column) -> Column:
 
 
 def bounded(pairs: DataFrame, reps: DataFrame, how: Join) -> DataFrame:
-    """(a, b, na, nb, most) of the cells that their blocks' sizes leave within reach.
+    """(a, b, na, nb, left) of the cells that their blocks' sizes leave within reach.
 
-    most: what the blocks of each step can give at most.
+    left: what the blocks of each step and those after it can give at most.
     """
-    left, right = (reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sizes").alias(f"z{x}")) for x in "ab")
+    mine, theirs = (reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sizes").alias(f"z{x}")) for x in "ab")
     least = F.zip_with("za", "zb", lambda x, y: F.least(x, y))
+    both = pairs.select("a", "b").join(mine, "a").join(theirs, "b").withColumn("least", least)
     each = how.blocks // how.steps
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").withColumn("least", least)
-    both = both.withColumn("most", F.array(*[total(F.slice("least", k * each + 1, each)) for k in range(how.steps)]))
-    return both.filter(reached(total(F.col("most")), how)).select("a", "b", "na", "nb", "most")
+    both = both.withColumn("left", F.array(*[total(F.slice("least", k * each + 1, how.blocks)) for k in range(how.steps)]))
+    return both.filter(reached(F.col("left")[0], how)).select("a", "b", "na", "nb", "left")
 
 
 def multiplied(cells: DataFrame, sets: DataFrame, how: Join) -> DataFrame:
-    """The cells (a, b) whose overlap, accumulated step by step, reaches its bound."""
-    so_far = cells.withColumn("overlap", F.lit(0).cast("bigint"))
-    for k in range(how.steps):
-        left, right = (sets.select(F.col("rep").alias(x), F.col(f"s{k}").alias(f"s{x}")) for x in "ab")
-        got = F.col("overlap") + F.size(F.array_intersect("sa", "sb"))
-        so_far = so_far.join(left, "a").join(right, "b").withColumn("overlap", got).drop("sa", "sb")
-        so_far = so_far.filter(reached(F.col("overlap") + total(F.slice("most", k + 2, how.steps)), how))
-    return so_far.select("a", "b")
+    """The cells (a, b) whose overlap, accumulated step by step, reaches its bound.
+
+    A step's blocks are multiplied only while the cell's bound is in reach.
+    """
+    mine, theirs = (sets.select(F.col("rep").alias(x), F.col("steps").alias(f"s{x}")) for x in "ab")
+    both = cells.join(mine, "a").join(theirs, "b")
+    step = lambda so_far, x: F.when(reached(so_far + x["left"], how), so_far + F.size(F.array_intersect(x["sa"], x["sb"]))).otherwise(F.lit(-1).cast("bigint"))
+    # A cell that went has -1.
+    overlap = F.aggregate(F.arrays_zip("sa", "sb", "left"), F.lit(0).cast("bigint"), lambda so_far, x: F.when(so_far < 0, so_far).otherwise(step(so_far, x)))
+    return both.filter(reached(overlap, how)).select("a", "b")
 
 
 def with_component(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -224,8 +234,7 @@ def met(rows: DataFrame, how: Join) -> DataFrame:
 
 def rarest_first(rows: DataFrame, sets: DataFrame, how: Join) -> DataFrame:
     """Pairs that the prefixes by exact counts among `rows` (rep, n, component; distinct) leave."""
-    whole = F.concat(*[F.col(f"s{k}") for k in range(how.steps)])
-    entries = cut(rows.join(sets, "rep").select("rep", "n", "component", F.explode(whole).alias("s")))
+    entries = cut(rows.join(sets, "rep").select("rep", "n", "component", F.explode(F.flatten("steps")).alias("s")))
     often = cut(entries.groupBy("s").agg(F.count(F.lit(1)).alias("df")))
     ordered = entries.join(often, "s").groupBy("rep", "n", "component").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("es"))
     first = F.slice("es", F.lit(1), (F.col("n") - F.ceil(F.col("n") * how.p / how.q) + 1).cast("int"))
@@ -262,11 +271,10 @@ def starred(shared: DataFrame, how: Join) -> DataFrame:
 
 
 def fetched(docs: DataFrame, one: DataFrame, wanted: DataFrame, how: Join) -> DataFrame:
-    """(rep, s0, s1, ...): the sets of the wanted rows in steps, from their texts."""
+    """(rep, steps): the sets of the wanted rows, cut into steps, from their texts."""
     named = one.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "version")
     texts = docs.withColumn("version", version(F.col("text"))).join(named, ["doc_id", "version"], "left_semi").dropDuplicates(["doc_id", "version"])
-    added = ", ".join(f"s{k} array<long>" for k in range(how.steps))
-    return cut(map_texts(texts, _sets(how), added, keep=["doc_id"]).withColumnRenamed("doc_id", "rep"))
+    return cut(map_texts(texts, _sets(how), "steps array<array<long>>", keep=["doc_id"]).withColumnRenamed("doc_id", "rep"))
 
 
 def version(text: Column) -> Column:
@@ -275,16 +283,10 @@ def version(text: Column) -> Column:
 
 
 def unfinished(shared: DataFrame, links: DataFrame) -> DataFrame:
-    """(s, rep, n, pos, rows, component) of columns whose rows besides the pivot are of several components."""
-    rest = cut(with_component(shared.filter(F.col("rep") != F.col("pivot")).select("s", "rep", "n", "pos", "rows"), links))
+    """(rep, n, component), distinct, of columns whose rows besides the pivot are of several components."""
+    rest = cut(with_component(shared.filter(F.col("rep") != F.col("pivot")).select("s", "rep", "n"), links))
     several = cut(rest.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("s"))
-    return cut(rest.join(several, "s"))
-
-
-def product(docs: DataFrame, one: DataFrame, cells: DataFrame, how: Join) -> DataFrame:
-    """The cells (a, b) that are links."""
-    sets = fetched(docs, one, cells.select(F.explode(F.array("a", "b")).alias("rep")), how)
-    return cut(multiplied(cells, sets, how))
+    return cut(rest.join(several, "s").select("rep", "n", "component").distinct())
 
 
 def linked(docs: DataFrame, how: Join = Join()) -> DataFrame:
@@ -307,16 +309,17 @@ def linked(docs: DataFrame, how: Join = Join()) -> DataFrame:
     few = shared.filter(F.col("rows") <= how.small_block).withColumn("component", F.col("rep"))
     many = pivoted(shared.filter(F.col("rows") > how.small_block))
     cells = cut(bounded(met(few, how).union(starred(many, how)).distinct(), reps, how))
-    links = product(docs, one, cells, how)
+    sets = fetched(docs, one, cells.select(F.explode(F.array("a", "b")).alias("rep")).union(many.select("rep")), how)
+    links = cut(multiplied(cells, sets, how))
     del shared, few, cells
     release(spark)
     rest = unfinished(many, links)
     if not rest.isEmpty():
-        rest = cut(rest.select("rep", "n", "component").distinct())
-        pairs = rarest_first(rest, fetched(docs, one, rest, how), how)
+        pairs = rarest_first(rest, sets, how)
         cells = cut(bounded(pairs.distinct(), reps, how))
-        links = cut(links.union(product(docs, one, cells, how)))
+        links = cut(links.union(multiplied(cells, sets, how)))
         del pairs, cells
+    del sets
     del many, rest, reps
     release(spark)
     found = connected_components(links).withColumnRenamed("node", "rep")
