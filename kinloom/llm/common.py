@@ -5,6 +5,7 @@ Nothing here keeps state between queries.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +22,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def covered(spans: list[tuple[int, int]]) -> Callable[[int, int], bool]:
+    """Whether start and end overlap one of the spans, in logarithmic time."""
+    starts, ends = [], []
+    for a, b in sorted(spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return lambda a, b: (k := bisect_right(ends, a)) < len(ends) and starts[k] < b
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body(value)` with `value` computed once for a row.
 

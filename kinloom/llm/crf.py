@@ -2,7 +2,7 @@
 
 Tokens are runs of letters, runs of digits and single other characters of a line.
 A token's features are its shape and its identity in a small lexicon of cue words,
-and those of up to two tokens before and after. Training is full-batch gradient
+and those of up to four tokens before and two after. Training is full-batch gradient
 ascent on the penalised log likelihood of a labelled table; decoding is Viterbi over
 all lines of a batch at once, token by token.
 """
@@ -17,7 +17,7 @@ import numpy as np
 
 from . import codepoints
 
-REACH = (-2, -1, 0, 1, 2)
+REACH = (-4, -3, -2, -1, 0, 1, 2)
 #: Characters with a shape of their own; others share one.
 MARKS = "()-.+/@:#,'\"=_|!"
 N_DIGITS, LONGEST_CUE = 10, 16
@@ -131,7 +131,7 @@ def emissions(t: Tokens, by_shape: np.ndarray, by_cue: np.ndarray) -> np.ndarray
             shape[: len(shape) - o] = t.shape[o:]
         out += by_shape[k][np.where(inside, shape, 0)]
         has = cues[(left[cues] >= -o) if o < 0 else (place[cues] >= o)]  # the cue is seen from the token at its place - o
-        np.add.at(out, has - o, by_cue[k][t.cue[has]])
+        out[has - o] += by_cue[k][t.cue[has]]  # each place once
     return out
 
 
@@ -179,22 +179,34 @@ def read_table(rows: tuple[str, ...]) -> tuple[list[str], list[list[tuple[str, i
     return plain, spans
 
 
-def train(rows: tuple[str, ...], kinds: tuple[str, ...], rounds: int = 150, rate: float = 0.1, penalty: float = 0.02, cue_rows: int = 1) -> Model:
-    """Fits a model; the lexicon is the words of marked rows that stand outside marks.
+@dataclass
+class Labelled:
+    """A labelled table as arrays: one-hot features and labels of tokens, and where each stands in its line."""
 
-    Adam from zero weights, so the result depends on nothing but the table.
-    """
-    plain, spans = read_table(rows)
-    labels = ["O"] + [f"{b}-{k}" for k in kinds for b in "BI"]
+    x: np.ndarray  # (tokens, features): shapes, then cues, for each of REACH
+    gold: np.ndarray
+    place: np.ndarray
+    line: np.ndarray
+    labels: list[str]
+    lexicon: np.ndarray
+
+
+def cue_words(plain: list[str], spans: list[list[tuple[str, int, int]]], rows: int) -> np.ndarray:
+    """Hashes of the words outside marks of at least `rows` marked rows."""
     words: dict[str, int] = {}
     for text, own in zip(plain, spans, strict=True):
         if own:
-            for m in re.finditer(r"[^\W\d_]+", text):
-                if len(m[0]) <= LONGEST_CUE and not any(a <= m.start() < b for _, a, b in own):
-                    words[m[0].lower()] = words.get(m[0].lower(), 0) + 1
-    cues = sorted(w for w, n in words.items() if n >= cue_rows)
-    codes, starts = codepoints.of_texts(cues)
-    lexicon = np.sort(word_hash(codes, starts[:-1], starts[1:] - 1))
+            outside = {m[0].lower() for m in re.finditer(r"[^\W\d_]+", text) if len(m[0]) <= LONGEST_CUE and not any(a <= m.start() < b for _, a, b in own)}
+            for w in outside:
+                words[w] = words.get(w, 0) + 1
+    codes, starts = codepoints.of_texts(sorted(w for w, n in words.items() if n >= rows))
+    return np.sort(word_hash(codes, starts[:-1], starts[1:] - 1))
+
+
+def prepared(rows: tuple[str, ...], kinds: tuple[str, ...], cue_rows: int = 1) -> Labelled:
+    plain, spans = read_table(rows)
+    labels = ["O"] + [f"{b}-{k}" for k in kinds for b in "BI"]
+    lexicon = cue_words(plain, spans, cue_rows)
     codes, starts = codepoints.of_texts(plain)
     t = tokens_of(codes, lexicon)
     gold = np.zeros(len(t.starts), np.int64)
@@ -203,61 +215,83 @@ def train(rows: tuple[str, ...], kinds: tuple[str, ...], rounds: int = 150, rate
             inside = np.flatnonzero((t.starts >= at + a) & (t.ends <= at + b))
             gold[inside] = labels.index(f"I-{kind}")
             gold[inside[0]] -= 1
-    n_labels, n_lines, longest = len(labels), len(t.n), int(t.n.max())
-    barred = np.zeros((n_labels, n_labels))
-    for j, name in enumerate(labels):
-        if name[0] == "I":
-            barred[[i for i, x in enumerate(labels) if x[2:] != name[2:]], j] = BARRED
-    start_barred = np.array([BARRED if x[0] == "I" else 0.0 for x in labels])
     place = np.arange(len(gold)) - np.repeat(t.first, t.n)
-    line = np.repeat(np.arange(n_lines), t.n)
-    # One-hot design: each token's feature numbers, of shapes then cues for each offset.
-    n_features = len(REACH) * (N_SHAPES + len(lexicon) + 1)
-    x = np.zeros((len(gold), n_features))
+    x = np.zeros((len(gold), len(REACH) * (N_SHAPES + len(lexicon) + 1)))
     for k, o in enumerate(REACH):
-        there = np.arange(len(gold)) + o
+        there = np.clip(np.arange(len(gold)) + o, 0, len(gold) - 1)
         ok = (place + o >= 0) & (place + o < np.repeat(t.n, t.n))
-        shape, cue = np.where(ok, t.shape[np.clip(there, 0, len(gold) - 1)], 0), np.where(ok, t.cue[np.clip(there, 0, len(gold) - 1)], 0)
-        x[np.arange(len(gold)), k * N_SHAPES + shape] = 1
+        x[np.arange(len(gold)), k * N_SHAPES + np.where(ok, t.shape[there], 0)] = 1
+        cue = np.where(ok, t.cue[there], 0)
         has = np.flatnonzero(cue)
         x[has, len(REACH) * N_SHAPES + k * (len(lexicon) + 1) + cue[has]] = 1
-    inner = place > 0
-    pairs = np.zeros((n_labels, n_labels))
-    np.add.at(pairs, (gold[np.flatnonzero(inner) - 1], gold[inner]), 1)
-    opened = np.bincount(gold[~inner], minlength=n_labels).astype(float)
-    hot = np.eye(n_labels)[gold]
-    w, m, b = np.zeros((n_features, n_labels)), np.zeros((n_labels, n_labels)), np.zeros(n_labels)
-    state = [[np.zeros_like(p), np.zeros_like(p)] for p in (w, m, b)]
-    mask = place[None, :] == np.arange(longest)[:, None]
+    return Labelled(x, gold, place, np.repeat(np.arange(len(t.n)), t.n), labels, lexicon)
+
+
+def barred(labels: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """What keeps an I label from following another kind, or opening a line."""
+    moves = np.zeros((len(labels), len(labels)))
+    for j, name in enumerate(labels):
+        if name[0] == "I":
+            moves[[i for i, x in enumerate(labels) if x[2:] != name[2:]], j] = BARRED
+    return moves, np.array([BARRED if x[0] == "I" else 0.0 for x in labels])
+
+
+def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
+    top = x.max(axis, keepdims=True)
+    return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
+
+
+def objective(d: Labelled, w: np.ndarray, m: np.ndarray, b: np.ndarray, penalty: float) -> tuple[float, tuple[np.ndarray, ...]]:
+    """The penalised log likelihood of the table and its gradient in weights, moves and begins.
+
+    Lines advance together; the recursions run forward and backward over places.
+    """
+    n_lines, longest, n_labels = int(d.line.max()) + 1, int(d.place.max()) + 1, len(d.labels)
+    bar_moves, bar_begins = barred(d.labels)
+    moves, begins = m + bar_moves, b + bar_begins
+    e = np.zeros((longest, n_lines, n_labels))
+    e[d.place, d.line] = d.x @ w
     exists = np.zeros((longest, n_lines), bool)
-    for s in range(longest):
-        exists[s, line[mask[s]]] = True
+    exists[d.place, d.line] = True
+    forward, backward = np.zeros_like(e), np.zeros_like(e)
+    forward[0] = begins + e[0]
+    for s in range(1, longest):
+        forward[s] = np.where(exists[s][:, None], log_sum(forward[s - 1][:, :, None] + moves, 1) + e[s], forward[s - 1])
+    total = log_sum(forward[-1], 1)
+    expected = np.zeros((n_labels, n_labels))
+    for s in range(longest - 1, 0, -1):
+        y = moves + (e[s] + backward[s])[:, None, :]
+        on = exists[s]
+        expected += np.exp(forward[s - 1][:, :, None] + y - total[:, None, None])[on].sum(0)
+        backward[s - 1] = np.where(on[:, None], log_sum(y, 2), backward[s])
+    p = np.exp(forward + backward - total[:, None])[d.place, d.line]
+    inner = np.flatnonzero(d.place > 0)
+    opens = np.flatnonzero(d.place == 0)
+    pairs = np.zeros((n_labels, n_labels))
+    np.add.at(pairs, (d.gold[inner - 1], d.gold[inner]), 1)
+    opened = np.bincount(d.gold[opens], minlength=n_labels).astype(float)
+    hot = np.eye(n_labels)[d.gold]
+    value = e[d.place, d.line, d.gold].sum() + moves[d.gold[inner - 1], d.gold[inner]].sum() + begins[d.gold[opens]].sum() - total.sum()
+    value -= penalty / 2 * sum((x * x).sum() for x in (w, m, b))
+    return float(value), (d.x.T @ (hot - p) - penalty * w, pairs - expected - penalty * m, opened - p[opens].sum(0) - penalty * b)
+
+
+def train(rows: tuple[str, ...], kinds: tuple[str, ...], rounds: int = 150, rate: float = 0.1, penalty: float = 0.1, cue_rows: int = 1) -> Model:
+    """Fits a model; the lexicon is the words of marked rows that stand outside marks.
+
+    Adam from zero weights, so the result depends on nothing but the table.
+    """
+    d = prepared(rows, kinds, cue_rows)
+    n_labels = len(d.labels)
+    values = np.zeros((d.x.shape[1], n_labels)), np.zeros((n_labels, n_labels)), np.zeros(n_labels)
+    state = [[np.zeros_like(p), np.zeros_like(p)] for p in values]
     for step in range(1, rounds + 1):
-        e = np.zeros((longest, n_lines, n_labels))
-        e[place, line] = x @ w
-        moves, begins = m + barred, b + start_barred
-        forward, backward = np.zeros_like(e), np.zeros_like(e)
-        forward[0] = begins + e[0]
-        for s in range(1, longest):
-            y = forward[s - 1][:, :, None] + moves
-            top = y.max(1)
-            forward[s] = np.where(exists[s][:, None], top + np.log(np.exp(y - top[:, None]).sum(1)) + e[s], forward[s - 1])
-        top = forward[-1].max(1, keepdims=True)
-        total = top + np.log(np.exp(forward[-1] - top).sum(1, keepdims=True))
-        expected = np.zeros((n_labels, n_labels))
-        for s in range(longest - 1, 0, -1):
-            y = moves + (e[s] + backward[s])[:, None, :]
-            on = exists[s]
-            joint = np.exp(forward[s - 1][:, :, None] + y - total[:, :, None])
-            expected += joint[on].sum(0)
-            top = y.max(2)
-            backward[s - 1] = np.where(on[:, None], top + np.log(np.exp(y - top[:, :, None]).sum(2)), backward[s])
-        p = np.exp(forward + backward - total)[place, line]
-        grads = (x.T @ (hot - p) - penalty * w, pairs - expected - penalty * m, opened - p[~inner].sum(0) - penalty * b)
-        for value, g, (m1, m2) in zip((w, m, b), grads, state, strict=True):
-            m1 += 0.1 * (g - m1)
-            m2 += 0.01 * (g * g - m2)
-            value += rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
-    split = len(REACH) * N_SHAPES
-    f = np.float32
-    return Model(labels, lexicon, w[:split].reshape(len(REACH), N_SHAPES, n_labels).astype(f), w[split:].reshape(len(REACH), len(lexicon) + 1, n_labels).astype(f), (m + barred).astype(f), (b + start_barred).astype(f))
+        grads = objective(d, *values, penalty)[1]
+        for value, g, one in zip(values, grads, state, strict=True):
+            one[0] += 0.1 * (g - one[0])
+            one[1] += 0.01 * (g * g - one[1])
+            value += rate * (one[0] / (1 - 0.9**step)) / (np.sqrt(one[1] / (1 - 0.99**step)) + 1e-8)
+    w, m, b = values
+    bar_moves, bar_begins = barred(d.labels)
+    split, f = len(REACH) * N_SHAPES, np.float32
+    return Model(d.labels, d.lexicon, w[:split].reshape(len(REACH), N_SHAPES, n_labels).astype(f), w[split:].reshape(len(REACH), len(d.lexicon) + 1, n_labels).astype(f), (m + bar_moves).astype(f), (b + bar_begins).astype(f))

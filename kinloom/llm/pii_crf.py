@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import codepoints, crf
 from .batches import map_texts
-from .common import table
+from .common import covered, table
 from .pii_table import SENTENCES
 
 KINDS = ("email", "ip", "card", "phone", "name", "ident")
@@ -72,11 +72,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def plausible(kind: str, text: str) -> bool:
-    """What a span of the model must hold at least."""
-    digits = sum("0" <= c <= "9" for c in text)
+    """What a span must be besides the model's labels: a rule, not a part of the model."""
+    digits, words = sum("0" <= c <= "9" for c in text), text.split()
     if kind == "phone":
         return 7 <= digits <= 15
-    return digits == 0 if kind == "name" else digits >= 6
+    return digits == 0 and len(text) > 1 and len(words) <= 5 and len(set(words)) == len(words) if kind == "name" else 6 <= digits <= 30
 
 
 @lru_cache(1)
@@ -103,10 +103,11 @@ def finder(fitted: crf.Model) -> Callable[[], Callable[[list[str]], list[tuple]]
         rows = []
         for text, new in zip(texts, added, strict=True):
             base = base_spans(text)
-            new = [(k, a, b) for k, a, b in new if plausible(KINDS[k], text[a:b]) and not any(x < b and a < y for _, x, y in base)]
+            taken = covered([(a, b) for _, a, b in base])
+            new = [(k, a, b) for k, a, b in new if plausible(KINDS[k], text[a:b]) and not taken(a, b)]
             every = sorted(base + new)
             n = [sum(k == i for k, _, _ in base) for i in range(4)]
-            rows.append((*n, len(new), hashlib.sha256(shown(base).encode()).hexdigest(), shown(every)))
+            rows.append((*n, len(new), len(every), hashlib.sha256(shown(base).encode()).hexdigest(), shown(every)))
         return rows
 
     return lambda: find
@@ -117,8 +118,8 @@ def shown(spans: list[tuple[int, int, int]]) -> str:
 
 
 def find(docs: DataFrame, fitted: crf.Model | None = None, keep: list[str] | None = None) -> DataFrame:
-    """Columns `keep` (all) with counts of the patterns, n_learned, base_sha256 and spans."""
-    return map_texts(docs, finder(fitted or model()), "n_email long, n_ip long, n_card long, n_phone long, n_learned long, base_sha256 string, spans string", keep=keep)
+    """Columns `keep` (all) with counts of the patterns, of the model and of all spans, base_sha256 and spans."""
+    return map_texts(docs, finder(fitted or model()), "n_email long, n_ip long, n_card long, n_phone long, n_learned long, n_spans long, base_sha256 string, spans string", keep=keep)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
