@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .batches import map_texts
-from .common import table
+from .common import covered, table
 
 KINDS = ("assign", "access", "hex", "random")
 CHARS_PER_TOKEN, LEAST = 2.0, 16
@@ -84,10 +84,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def random_spans(text: str, base: list[tuple[int, int, int]], encode: Callable[[str], list[int]]) -> list[tuple[int, int, int]]:
-    out = []
+    out, taken = [], covered([(a, b) for a, _, b in base])
 
     def test(s: int, e: int) -> bool:
-        if is_known(run := text[s:e]) or any(a < e and s < b for a, _, b in base) or e - s >= CHARS_PER_TOKEN * len(encode(run)):
+        if is_known(run := text[s:e]) or taken(s, e) or e - s >= CHARS_PER_TOKEN * len(encode(run)):
             return False
         out.append((s, 3, e))
         return True
@@ -121,7 +121,7 @@ def scanner(path: str, redact: bool = False) -> Callable[[], Callable[[list[str]
                     rows.append((hidden(t, spans), len(spans)))
                     continue
                 n = [sum(k == i for _, k, _ in base) for i in range(3)]
-                rows.append((*n, len(spans) - len(base), hashlib.sha256(shown(base).encode()).hexdigest(), shown(spans)))
+                rows.append((*n, len(spans) - len(base), len(spans), hashlib.sha256(shown(base).encode()).hexdigest(), shown(spans)))
             return rows
 
         return scan
@@ -141,7 +141,7 @@ def hidden(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def scan(docs: DataFrame, ranks: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """Counts, digest and spans of each document's secrets beside columns `keep`."""
-    return map_texts(docs, scanner(ranks or default_ranks()), "n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string", keep=keep)
+    return map_texts(docs, scanner(ranks or default_ranks()), "n_assign long, n_access long, n_hex long, n_random long, n_spans long, base_sha256 string, spans string", keep=keep)
 
 
 def redacted(docs: DataFrame, ranks: str | None = None) -> DataFrame:
