@@ -2,6 +2,10 @@
 
 A batch is cut up so that the texts handled at once stay below a number of
 bytes; a longer text is handled alone, so memory follows the longest text.
+
+Spark takes the size of the batches that it sends from the session only. Where the
+session doesn't set it, `sent_small` sets it to batches that two workers can hold
+beside a small executor's heap; what a session sets itself stays.
 """
 
 from __future__ import annotations
@@ -15,6 +19,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 BYTES = 1_000_000
+#: Rows and bytes of a batch.
+SENT = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+
+def sent_small(df: DataFrame) -> DataFrame:
+    conf = df.sparkSession.conf
+    for key, value in SENT.items():
+        if conf.get(key, None) is None:
+            conf.set(key, value)
+    return df
 
 
 def pieces(sizes: np.ndarray, most: int = BYTES) -> Iterator[np.ndarray]:
@@ -62,4 +76,4 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], list[tup
             made = [pa.array(list(c), kinds.field(k).type) for k, c in enumerate(zip(*f(texts), strict=True))]
             yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *made], names=[*inner, *new.names])
 
-    return docs.select(*sent).mapInArrow(run, schema).toDF(*keep, *new.names)
+    return sent_small(docs.select(*sent)).mapInArrow(run, schema).toDF(*keep, *new.names)

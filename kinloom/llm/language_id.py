@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import codepoints
-from .batches import map_texts, parts
+from .batches import map_texts, parts, sent_small
 from .common import table, unit_hash
 
 TRIGRAMS, BIGRAMS = 1 << 15, 1 << 12
@@ -108,7 +108,7 @@ def count(langs_and_texts: DataFrame) -> DataFrame:
                 seen = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen)), pa.array(seen.astype(np.int32)), pa.array(n[seen])], names=["lang", "bucket", "n"])
 
-    counted = langs_and_texts.select("lang", "text").mapInArrow(run, "lang string, bucket int, n long")
+    counted = sent_small(langs_and_texts.select("lang", "text")).mapInArrow(run, "lang string, bucket int, n long")
     return counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 

@@ -56,7 +56,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import map_texts, parts
+from .batches import map_texts, parts, sent_small
 from .common import cut, table
 from .components import connected_components
 
@@ -77,6 +77,8 @@ class Join:
     #: Blocks of columns (a power of two), and steps in which they are multiplied.
     blocks: int = 64
     steps: int = 4
+    #: Ids of texts to fetch are broadcast if they were counted and are no more than this (16 bytes each); else texts and ids are dealt out.
+    broadcast_ids: int = 100_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -145,7 +147,7 @@ def levels(docs: DataFrame, how: Join) -> np.ndarray:
         level = [np.log2(np.maximum(x, 1)).astype(np.uint8).tobytes() for x in total.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(level, pa.binary())], names=["slice", "level"])
 
-    told = docs.select("text").mapInArrow(run, "slice int, n binary").repartition("slice").mapInArrow(summed, "slice int, level binary")
+    told = sent_small(docs.select("text")).mapInArrow(run, "slice int, n binary").repartition("slice").mapInArrow(summed, "slice int, level binary")
     out = np.zeros((SLICES, each), np.uint8)
     for row in told.collect():
         out[row["slice"]] = np.frombuffer(row["level"], np.uint8)
@@ -272,7 +274,9 @@ def starred(shared: DataFrame, how: Join) -> DataFrame:
 
 def fetched(docs: DataFrame, one: DataFrame, wanted: DataFrame, how: Join) -> DataFrame:
     """(rep, steps): the sets of the wanted rows, cut into steps, from their texts."""
-    named = one.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "version")
+    named = cut(one.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "version"))
+    if named.count() <= how.broadcast_ids:
+        named = F.broadcast(named)
     texts = docs.withColumn("version", version(F.col("text"))).join(named, ["doc_id", "version"], "left_semi").dropDuplicates(["doc_id", "version"])
     return cut(map_texts(texts, _sets(how), "steps array<array<long>>", keep=["doc_id"]).withColumnRenamed("doc_id", "rep"))
 
