@@ -77,6 +77,8 @@ class Join:
     #: Blocks of columns (a power of two), and steps in which they are multiplied.
     blocks: int = 64
     steps: int = 4
+    #: Passes in which prefix columns are dealt out.
+    passes: int = 3
     #: Ids of texts to fetch are broadcast if they were counted and are no more than this (16 bytes each); else texts and ids are dealt out.
     broadcast_ids: int = 100_000
 
@@ -250,11 +252,21 @@ def represented(every: DataFrame, groups: DataFrame) -> DataFrame:
     return cut(reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "prefix", "sizes"))
 
 
-def sharing(reps: DataFrame) -> DataFrame:
-    """(s, rep, n, pos, rows): the prefix columns that at least two rows share."""
-    entries = reps.select("rep", "n", F.posexplode("prefix").alias("pos", "s"))
-    often = cut(entries.groupBy("s").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1"))
-    return cut(entries.join(often, "s"))
+def sharing(reps: DataFrame, how: Join) -> DataFrame:
+    """(s, rep, n, pos, rows): the prefix columns that at least two rows share.
+
+    Columns are dealt out in passes, each over its share of the hashes, so that only a share is on disk at once.
+    """
+    out = None
+    for k in range(how.passes):
+        entries = reps.select("rep", "n", F.posexplode("prefix").alias("pos", "s")).filter(F.pmod("s", F.lit(how.passes)) == k)
+        often = cut(entries.groupBy("s").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1"))
+        release(reps.sparkSession)
+        part = cut(entries.join(often, "s"))
+        out = part if out is None else out.unionByName(part)
+        del often
+        release(reps.sparkSession)
+    return out
 
 
 def pivoted(shared: DataFrame) -> DataFrame:
@@ -308,8 +320,7 @@ def linked(docs: DataFrame, how: Join = Join()) -> DataFrame:
     reps = represented(every, groups)
     del every, rows
     release(spark)
-    shared = sharing(reps)
-    release(spark)
+    shared = sharing(reps, how)
     few = shared.filter(F.col("rows") <= how.small_block).withColumn("component", F.col("rep"))
     many = pivoted(shared.filter(F.col("rows") > how.small_block))
     cells = cut(bounded(met(few, how).union(starred(many, how)).distinct(), reps, how))
