@@ -93,7 +93,7 @@ def query(body: str) -> str:
                 walk(PARTS[name])
 
     walk(body)
-    return "WITH " + ", ".join(f"{x} AS MATERIALIZED ({PARTS[x]})" for x in PARTS if x in need) + " " + body
+    return "WITH " + ", ".join(f"{x} AS MATERIALIZED ({PARTS[x]})" for x in PARTS if x in need) + (", " + body.removeprefix("WITH ") if body.startswith("WITH ") else " " + body)
 
 
 def _df(kind: str) -> str:
@@ -150,6 +150,90 @@ def _bound(kind: str) -> str:
     return f"SELECT count(*)::BIGINT AS records, round(sum(n)::DOUBLE / count(*), 6) AS avg_bound, {_at(0.95)} AS p95, {_at(0.99)} AS p99 FROM ({per})"
 
 
+#: Bits of one of the two numbers that hold a row of the bit-parallel longest common subsequence: texts of up to 200 characters on one side.
+LIMB = 100
+FULL = f"{(1 << LIMB) - 1}::HUGEINT"
+
+
+def _characters(x: str) -> str:
+    return f"regexp_extract_all({x}, '(?s).')"
+
+
+def _bits(c: str, first: int) -> str:
+    """The places of character c in the list ca, as bits from place `first`."""
+    return f"coalesce(list_sum(list_transform(range(1, least({LIMB}, len(ca) - {first}) + 1), lambda i: CASE WHEN ca[i + {first}] = {c} THEN 1::HUGEINT << (i - 1)::INT ELSE 0::HUGEINT END)), 0)::HUGEINT"
+
+
+def _common(masks: str) -> str:
+    """Length of the longest common subsequence of ca with the characters whose masks are given."""
+    low = f"(acc.lo + (acc.lo & x.lo))"
+    step = f"{{lo: ({low} & {FULL}) | (acc.lo - (acc.lo & x.lo)), hi: ((acc.hi + (acc.hi & x.hi) + ({low} >> {LIMB})) & {FULL}) | (acc.hi - (acc.hi & x.hi))}}"
+    row = f"list_reduce({masks}, lambda acc, x: {step}, {{lo: {FULL}, hi: {FULL}}})"
+    left = lambda part, n: f"bit_count(r.{part} & ((1::HUGEINT << ({n})::INT) - 1))"
+    return f"list_transform([{row}], lambda r: len(ca) - {left('lo', f'least(len(ca), {LIMB})')} - {left('hi', f'greatest(len(ca) - {LIMB}, 0)')})[1]"
+
+
+def _sorted(x: str) -> str:
+    return joined(f"list_sort({x})")
+
+
+def fuzzy(base: str, wratio: bool = False) -> str:
+    """The rows of `base` (sn, tn, sa, ta among its columns) with n_set, n_sort, n_ratio and a_..., doubles; and n_wratio, a_wratio."""
+    words = lambda x: f"list_filter(string_split({x}, ' '), lambda t: t <> '')"
+    parts = f"""b AS MATERIALIZED ({base}),
+        f AS MATERIALIZED (SELECT x, y, {words("x")} AS wx, {words("y")} AS wy FROM (SELECT sn AS x, tn AS y FROM b UNION SELECT sa, ta FROM b)),
+        v AS MATERIALIZED (SELECT x, y, {_sorted("wx")} AS sx, {_sorted("wy")} AS sy, {_sorted("list_distinct(list_filter(wx, lambda t: list_contains(wy, t)))")} AS z,
+            {_sorted("list_distinct(list_filter(wx, lambda t: NOT list_contains(wy, t)))")} AS ox, {_sorted("list_distinct(list_filter(wy, lambda t: NOT list_contains(wx, t)))")} AS oy FROM f),
+        q AS MATERIALIZED (SELECT a, b FROM (SELECT x AS a, y AS b FROM v UNION SELECT sx, sy FROM v UNION SELECT ox, oy FROM v) WHERE a <> '' AND b <> ''),
+        l AS MATERIALIZED (SELECT a, b, {_common("masks")} AS n FROM (SELECT a, b, ca, list_transform({_characters("b")}, lambda c: {{lo: {_bits("c", 0)}, hi: {_bits("c", LIMB)}}}) AS masks FROM (SELECT a, b, {_characters("a")} AS ca FROM q))),
+        u AS MATERIALIZED (SELECT v.*, length(x) AS nx, length(y) AS ny, length(z) AS nz, length(ox) AS nox, length(oy) AS noy, coalesce(l1.n, 0) AS c1, coalesce(l2.n, 0) AS c2, coalesce(l3.n, 0) AS c3
+            FROM v LEFT JOIN l l1 ON l1.a = x AND l1.b = y LEFT JOIN l l2 ON l2.a = sx AND l2.b = sy LEFT JOIN l l3 ON l3.a = ox AND l3.b = oy),
+        o AS MATERIALIZED (SELECT u.*, CASE WHEN nx + ny = 0 THEN 100.0::DOUBLE ELSE 200.0::DOUBLE * c1 / (nx + ny) END AS ratio, CASE WHEN length(sx) + length(sy) = 0 THEN 100.0::DOUBLE ELSE 200.0::DOUBLE * c2 / (length(sx) + length(sy)) END AS sort,
+            CASE WHEN nz + nox = 0 OR nz + noy = 0 THEN 0.0::DOUBLE WHEN nz > 0 AND (nox = 0 OR noy = 0) THEN 100.0::DOUBLE
+              ELSE 100.0::DOUBLE * greatest(1 - (nox + noy - 2 * c3)::DOUBLE / (2 * (nz + (nz > 0)::INT) + nox + noy),
+                CASE WHEN nz > 0 THEN greatest(1 - (1 + nox)::DOUBLE / (2 * nz + 1 + nox), 1 - (1 + noy)::DOUBLE / (2 * nz + 1 + noy)) ELSE 0 END) END AS st FROM u)"""
+    wide = ""
+    if wratio:
+        window = f"""list_max(list_transform(range(1 - len(ca), len(cb)), lambda k: list_transform([masks[greatest(k, 0) + 1 : least(len(cb), k + len(ca))]], lambda w: 200.0::DOUBLE * ({_common("w")}) / (len(ca) + len(w)))[1]))"""
+        far = "FROM o WHERE nx > 0 AND ny > 0 AND greatest(nx, ny)::DOUBLE / least(nx, ny) >= 1.5"
+        parts += f""",
+        pq AS MATERIALIZED (SELECT a, b FROM (SELECT x AS a, y AS b {far} UNION SELECT sx, sy {far} UNION SELECT ox, oy {far} AND z = '') WHERE a <> '' AND b <> ''),
+        po AS MATERIALIZED (SELECT a, b, a AS p, b AS q FROM pq WHERE length(a) <= length(b) UNION ALL SELECT a, b, b, a FROM pq WHERE length(a) >= length(b)),
+        pm AS MATERIALIZED (SELECT a, b, ca, cb, list_transform(cb, lambda c: {{lo: {_bits("c", 0)}, hi: {_bits("c", LIMB)}}}) AS masks FROM (SELECT a, b, {_characters("p")} AS ca, {_characters("q")} AS cb FROM po)),
+        pr AS MATERIALIZED (SELECT a, b, max({window}) AS r FROM pm GROUP BY a, b)"""
+        scale = "(CASE WHEN greatest(nx, ny)::DOUBLE / least(nx, ny) <= 8 THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END)"
+        wide = f""", CASE WHEN nx = 0 OR ny = 0 THEN 0.0::DOUBLE WHEN greatest(nx, ny)::DOUBLE / least(nx, ny) < 1.5 THEN greatest(ratio, 0.95::DOUBLE * greatest(sort, st))
+            ELSE greatest(ratio, {scale} * p1.r, 0.95::DOUBLE * {scale} * CASE WHEN z <> '' THEN 100.0::DOUBLE ELSE greatest(p2.r, p3.r) END) END AS wratio
+            FROM o LEFT JOIN pr p1 ON p1.a = x AND p1.b = y LEFT JOIN pr p2 ON p2.a = sx AND p2.b = sy LEFT JOIN pr p3 ON p3.a = ox AND p3.b = oy"""
+    parts += f", fz AS MATERIALIZED (SELECT x, y, ratio, sort, st{wide or ' FROM o'})"
+    both = "".join(f", {side}.{c} AS {side}_{name}" for side in ("n", "a") for c, name in (("st", "set"), ("sort", "sort"), ("ratio", "ratio"), *((("wratio", "wratio"),) if wratio else ())))
+    return f"(WITH {parts} SELECT b.*{both} FROM b JOIN fz n ON n.x = sn AND n.y = tn JOIN fz a ON a.x = sa AND a.y = ta)"
+
+
+def _texts(pairs: str) -> str:
+    return f"SELECT c.*, s.old_name AS sn, s.old_address AS sa, coalesce(t.old_name, '') AS tn, coalesce(t.old_address, '') AS ta FROM ({pairs}) c JOIN s1 s ON s.entity_id = c.sid LEFT JOIN t ON t.entity_id = c.tid"
+
+
+def _linear(pairs: str) -> str:
+    """The pairs with name_score, address_score and match."""
+    return f"(SELECT *, name_score * {CFG.name_weight}::DOUBLE + address_score * {CFG.address_weight}::DOUBLE AS match FROM (SELECT *, n_set::REAL::DOUBLE / 100 AS name_score, a_set::REAL::DOUBLE / 100 AS address_score FROM {fuzzy(_texts(pairs))}))"
+
+
+def _length_ratio(a: str, b: str) -> str:
+    return f"least(length({a}), length({b})) / (greatest(length({a}), length({b})) + 1e-5)"
+
+
+def _digit_jaccard(a: str, b: str) -> str:
+    return f"CASE WHEN len({digits(a)}) = 0 AND len({digits(b)}) = 0 THEN -1.0::DOUBLE ELSE {jac(digits(a), digits(b))} END"
+
+
+_SCORES = {"n_set": "n_set", "n_sort": "n_sort", "n_ratio": "n_ratio", "a_set": "a_set", "a_sort": "a_sort", "a_ratio": "a_ratio", "len_n": _length_ratio("sn", "tn"), "len_a": _length_ratio("sa", "ta"), "block_score": "block_score"}
+_SCORES |= {"n_wratio": "n_wratio", "a_wratio": "a_wratio", "n_digit": _digit_jaccard("sn", "tn"), "a_digit": _digit_jaccard("sa", "ta")}
+_TOP = "SELECT sid, tid, block_score, rnk FROM top"
+_MISSED = "SELECT p.sid, p.tid FROM p LEFT JOIN v2 USING (sid, tid) WHERE v2.sid IS NULL"
+_AT = ", ".join(f"sum(({c}::REAL >= {t})::INT)::BIGINT AS {c}_{t}" for c in ("n_set", "n_ratio", "a_set", "a_ratio") for t in (60, 80, 90))
+_T = f"{CFG.linear_threshold}::DOUBLE"
+
 _order = "md5('42|' || sid)"
 
 BODIES = {
@@ -211,6 +295,15 @@ BODIES = {
     "class_balance": "SELECT (p.sid IS NOT NULL)::INT::DOUBLE AS label, count(*)::BIGINT AS n FROM top LEFT JOIN p USING (sid, tid) GROUP BY ALL",
     "split_stratified": f"SELECT sid, country, n_matches FROM (SELECT sid, s1.country, n_true AS n_matches, row_number() OVER (PARTITION BY s1.country, n_true ORDER BY {_order}, sid) AS place, count(*) OVER (PARTITION BY s1.country, n_true) AS size FROM g JOIN s1 ON s1.entity_id = g.sid) WHERE place <= round_even(size * 0.2::DOUBLE, 0)",
     "sample_rows": "SELECT entity_id FROM r ORDER BY md5('42|' || entity_id), entity_id LIMIT 50",
+    "fuzzy_features13": f"SELECT sid, tid, rnk::INT AS rnk, {', '.join(f'({x})::REAL AS {c}' for c, x in _SCORES.items())} FROM {fuzzy(_texts(_TOP), wratio=True)}",
+    "linear_match_v2": f"SELECT sid, tid, name_score, address_score, match FROM {_linear(_block('exact', 'ntok', 'atok'))} WHERE match >= {_T}",
+    "match_v4_topk": f"""SELECT sid, tid, match_q, block_score, row_number() OVER (PARTITION BY sid ORDER BY match_q DESC, block_score DESC, tid DESC)::INT AS rnk
+        FROM (SELECT sid, tid, block_score, least(greatest(round_even(match * 1000, 0), 0), 1000)::INT AS match_q FROM {_linear('SELECT * FROM c')}) QUALIFY rnk <= {CFG.top_k}""",
+    "fuzzy_ceiling": f"SELECT count(*)::BIGINT AS missed, {_AT}, sum((greatest(n_set::REAL, a_set::REAL, n_ratio::REAL, a_ratio::REAL) >= 80)::INT)::BIGINT AS any_80 FROM {fuzzy(_texts(_MISSED))}",
+    "error_examples": f"""WITH scored AS MATERIALIZED (SELECT sid, tid, match, p2.sid IS NOT NULL AS is_true FROM {_linear(_TOP)} LEFT JOIN (SELECT DISTINCT sid, tid FROM p) p2 USING (sid, tid))
+        (SELECT 'missed' AS error, sid, tid, NULL::DOUBLE AS match FROM (SELECT DISTINCT sid, tid FROM p) WHERE (sid, tid) NOT IN (SELECT (sid, tid) FROM scored) ORDER BY sid, tid LIMIT 30) UNION ALL
+        (SELECT 'low_true', sid, tid, match FROM scored WHERE is_true AND match < {_T} ORDER BY match, sid, tid LIMIT 30) UNION ALL
+        (SELECT 'false', sid, tid, match FROM scored WHERE NOT is_true AND match >= {_T} ORDER BY match DESC, sid, tid LIMIT 30)""",
 }
 
 

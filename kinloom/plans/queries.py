@@ -13,6 +13,7 @@ from kinloom.config import FIXTURE
 from kinloom.functions import text as X
 from kinloom.operators import blocking, evaluate, features, model, ranking, reports, stats
 from kinloom.operators.derive import blocking_keys, derive
+from kinloom.shared import cut
 from kinloom.sources import records
 
 CFG = FIXTURE
@@ -24,32 +25,45 @@ class View:
     """The fixture's tables, each defined once for a query."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.records = records.fixture(spark, sf_dir)
-        self.spark = spark
+        self.spark, self.sf_dir = spark, sf_dir
+
+    @cached_property
+    def records(self) -> DataFrame:
+        return records.fixture(self.spark, self.sf_dir)
 
     @cached_property
     def derived(self) -> DataFrame:
         return derive(self.records, CFG)
 
+    @cached_property
+    def stored(self) -> DataFrame:
+        """The derived records, written once: queries of both sides and of pairs read them several times, texts are normalised once."""
+        return cut(self.derived)
+
     @cached_property
     def s1(self) -> DataFrame:
-        return self.derived.filter("src = 1")
+        return self.stored.filter("src = 1")
 
     @cached_property
     def corpus(self) -> DataFrame:
-        return self.derived.filter("src > 1")
+        return self.stored.filter("src > 1")
 
     @cached_property
     def pairs(self) -> DataFrame:
-        return records.fixture_pairs(self.records)
+        return records.fixture_pairs(self.stored)
 
     @cached_property
     def truth(self) -> DataFrame:
-        return records.packed_truth(self.records.filter("src = 1"), self.pairs)
+        return records.packed_truth(self.s1, self.pairs)
 
     def keys(self, *kinds: str) -> tuple[DataFrame, DataFrame]:
         return tuple(blocking_keys(x, CFG, kinds) if kinds else blocking_keys(x, CFG) for x in (self.s1, self.corpus))
 
+    def target_keys(self, *kinds: str) -> DataFrame:
+        """For queries that read the targets once: straight from the texts."""
+        corpus = self.derived.filter("src > 1")
+        return blocking_keys(corpus, CFG, kinds) if kinds else blocking_keys(corpus, CFG)
+
     def met(self, *kinds: str, cfg=CFG) -> DataFrame:
         return blocking.shared_keys(*self.keys(*kinds), cfg)
 
@@ -110,11 +124,11 @@ def norm_digits(v: View) -> DataFrame:
 
 
 def df_of(kind: str) -> Callable[[View], DataFrame]:
-    return lambda v: stats.document_frequency(v.keys(kind)[1]).select("country", "key", "df")
+    return lambda v: stats.document_frequency(v.target_keys(kind)).select("country", "key", "df")
 
 
 def df_global_tokens(v: View) -> DataFrame:
-    return stats.document_frequency(v.keys("ntok")[1], by_country=False).select("key", "df")
+    return stats.document_frequency(v.target_keys("ntok"), by_country=False).select("key", "df")
 
 
 def df_vocab_restricted(v: View) -> DataFrame:
@@ -123,15 +137,15 @@ def df_vocab_restricted(v: View) -> DataFrame:
 
 
 def top_tokens_by_country(v: View) -> DataFrame:
-    return stats.most_frequent(stats.document_frequency(v.keys("ntok")[1])).select("country", "key", "df", F.col("rank").cast("bigint").alias("rank"))
+    return stats.most_frequent(stats.document_frequency(v.target_keys("ntok"))).select("country", "key", "df", F.col("rank").cast("bigint").alias("rank"))
 
 
 def top_tokens(v: View) -> DataFrame:
-    return stats.most_frequent(stats.document_frequency(v.keys("ntok")[1], by_country=False), by_country=False).select("key", "df")
+    return stats.most_frequent(stats.document_frequency(v.target_keys("ntok"), by_country=False), by_country=False).select("key", "df")
 
 
 def distinct_keys(v: View) -> DataFrame:
-    return stats.distinct_keys(stats.document_frequency(v.keys()[1]))
+    return stats.distinct_keys(stats.document_frequency(v.target_keys()))
 
 
 def block_of(*kinds: str, k: int = 1) -> Callable[[View], DataFrame]:
@@ -198,7 +212,7 @@ def matches_lookup(v: View) -> DataFrame:
     """The first matched source 1 record by id, with its matches' fields."""
     one = v.pairs.agg(F.min("sid").alias("sid"))  # one row
     mine = v.pairs.join(F.broadcast(one), "sid", "left_semi").distinct()
-    return mine.join(v.records.select(F.col("entity_id").alias("tid"), "business_name", "business_address", "country"), "tid")
+    return mine.join(v.stored.select(F.col("entity_id").alias("tid"), "business_name", "business_address", "country"), "tid")
 
 
 def _candidate_counts(v: View, kind: str) -> DataFrame:
@@ -282,9 +296,13 @@ def match_v4_topk(v: View) -> DataFrame:
 
 
 def gbt_scored(v: View) -> DataFrame:
-    rows = model.labelled(features.features(features.with_texts(v.top, v.s1, v.corpus)), v.pairs).persist()
-    fitted = model.trained(rows)
-    return model.predicted(fitted, rows).select("sid", "tid", "label", "p", (F.col("p") >= CFG.threshold).alias("matched"))
+    """Every candidate's probability, from trees that saw only candidates of records that aren't held out."""
+    n = v.truth.select(F.col("source1_entity_id").alias("sid"), F.size(X.parse_ids(F.col("matched_entity_ids"))).cast("bigint").alias("n_matches"))
+    out = model.stratified(v.s1.select(F.col("entity_id").alias("sid"), "country").join(n, "sid"), 0.2).select("sid", F.lit(True).alias("held_out"))
+    rows = model.labelled(features.features(features.with_texts(v.top, v.s1, v.corpus)), v.pairs)
+    rows = cut(rows.join(out, "sid", "left").fillna(False, ["held_out"]))
+    fitted = model.trained(rows.filter("NOT held_out"))
+    return model.predicted(fitted, rows).select("sid", "tid", "held_out", "label", "p", (F.col("p") >= CFG.threshold).alias("matched"))
 
 
 def fuzzy_ceiling(v: View) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinloom.config import PRESETS, ErConfig, parse
-from kinloom.operators import blocking, evaluate, ranking, sinks, stats
+from kinloom.operators import blocking, evaluate, model, ranking, sinks, stats
 from kinloom.operators.derive import blocking_keys, derive
 from kinloom.plans import pipeline
 from kinloom.sources import records
@@ -164,3 +164,15 @@ def test_command_line_run(spark, tmp_path):
     pipeline.main(["--source1", path["s1.tsv"], "--targets", path["s2"], "--out", path["out"], "--top-k", "3", "--linear-threshold", "0.5"])
     got = spark.read.csv(f"{path['out']}/candidate_pairs", sep="\t", header=True)
     assert got.count() == 10 and got.filter("candidate_entity_ids IS NOT NULL").count() > 0
+
+
+def test_stratified_against_plain_ranks(spark):
+    import hashlib
+
+    rows = [(f"S1-{k}", c, n) for k, (c, n) in enumerate([("de", 0)] * 4000 + [("en", 1)] * 7 + [(None, 2)] * 3 + [("fr", 0)] * 15)]
+    got = {r.sid for r in model.stratified(spark.createDataFrame(rows, "sid string, country string, n_matches long"), 0.3).collect()}
+    want = set()
+    for stratum in {r[1:] for r in rows}:
+        mine = sorted((hashlib.md5(f"42|{r[0]}".encode()).hexdigest(), r[0]) for r in rows if r[1:] == stratum)
+        want |= {sid for _, sid in mine[: round(len(mine) * 0.3)]}
+    assert got == want
