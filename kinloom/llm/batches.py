@@ -10,6 +10,7 @@ beside a small executor's heap; what a session sets itself stays.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,6 +32,24 @@ def sent_small(df: DataFrame) -> DataFrame:
     return df
 
 
+#: What a process does when it turns to another operator's tasks: by module, functions that drop its tables.
+_forget: dict[str, Callable[[], None]] = {}
+
+
+def kept_until_left(module: str, forget: Callable[[], None]) -> None:
+    """Registers what drops the tables that `module` keeps in a process from task to task."""
+    _forget[module] = forget
+
+
+def enter(module: str) -> None:
+    """Drops other modules' tables: Python workers are used again by later stages, and would hold them."""
+    others = [m for m in _forget if m != module]
+    for other in others:
+        _forget.pop(other)()
+    if others and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        trim(0)  # glibc keeps what was freed, else
+
+
 def pieces(sizes: np.ndarray, most: int = BYTES) -> Iterator[np.ndarray]:
     """Row numbers, smallest size first, in runs of at most `most` together."""
     order = np.argsort(sizes, kind="stable")
@@ -71,6 +90,7 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], list[tup
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        enter(make.__module__)
         kinds, f = to_arrow_schema(new), make()
         for part, texts in parts(batches, place):
             made = [pa.array(list(c), kinds.field(k).type) for k, c in enumerate(zip(*f(texts), strict=True))]

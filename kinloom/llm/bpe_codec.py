@@ -31,7 +31,7 @@ from struct import pack
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .batches import map_texts
+from .batches import kept_until_left, map_texts
 from .common import table
 
 #: Known words a process keeps, nodes of its trie, and pairs of tokens whose validity it keeps.
@@ -182,6 +182,7 @@ def default_vocabulary() -> str:
 
 @lru_cache(2)
 def codec(path: str) -> Codec:
+    kept_until_left(__name__, codec.cache_clear)
     return Codec(path)
 
 

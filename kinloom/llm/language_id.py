@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import codepoints
-from .batches import map_texts, parts, sent_small
+from .batches import enter, map_texts, parts, sent_small
 from .common import table, unit_hash
 
 TRIGRAMS, BIGRAMS = 1 << 15, 1 << 12
@@ -97,6 +97,7 @@ def count(langs_and_texts: DataFrame) -> DataFrame:
     """lang, bucket, n: how often each language's texts have each n-gram or script."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter(__name__)
         for part, texts in parts(batches, 1):
             by: dict[str, list[str]] = {}
             for lang, text in zip(part.column(0).to_pylist(), texts, strict=True):

@@ -56,7 +56,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import map_texts, parts, sent_small
+from .batches import enter, map_texts, parts, sent_small
 from .common import cut, table
 from .components import connected_components
 
@@ -134,6 +134,7 @@ def levels(docs: DataFrame, how: Join) -> np.ndarray:
     each = n // SLICES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter(__name__)
         total = np.zeros(n, np.int64)
         for _, texts in parts(batches, 0):
             np.add.at(total, (np.concatenate(sets_of(texts, size)) >> shift).astype(np.int64), 1)

@@ -28,7 +28,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import map_texts
+from .batches import kept_until_left, map_texts
 from .common import covered, table
 
 KINDS = ("assign", "access", "hex", "random")
@@ -62,6 +62,7 @@ def encoding(path: str):
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    kept_until_left(__name__, encoding.cache_clear)
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
