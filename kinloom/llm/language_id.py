@@ -107,7 +107,7 @@ def count(langs_and_texts: DataFrame) -> DataFrame:
                 n = np.bincount(w.trigram, minlength=BUCKETS) + np.bincount(w.bigram, minlength=BUCKETS)
                 n[TRIGRAMS + BIGRAMS :] += np.bincount(w.script, weights=w.ends - w.starts, minlength=len(codepoints.SCRIPTS)).astype(np.int64)
                 seen = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen)), pa.array(seen.astype(np.int32)), pa.array(n[seen])], names=["lang", "bucket", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(seen.astype(np.int32)), pa.array(n[seen])], names=["lang", "bucket", "n"])
 
     counted = sent_small(langs_and_texts.select("lang", "text")).mapInArrow(run, "lang string, bucket int, n long")
     return counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
