@@ -146,11 +146,9 @@ def scan(docs: DataFrame, ranks: str | None = None, keep: list[str] | None = Non
 
 
 def redacted(docs: DataFrame, ranks: str | None = None) -> DataFrame:
-    """The documents with their secrets replaced in `text`, and `n_secrets`.
-
-    A null text becomes an empty one.
-    """
-    out = map_texts(docs, scanner(ranks or default_ranks(), redact=True), "text string, n_secrets long")
+    """The documents with their secrets replaced in `text`, and `n_secrets`. A null text stays null."""
+    out = map_texts(docs.withColumn("__null", F.col("text").isNull()), scanner(ranks or default_ranks(), redact=True), "text string, n_secrets long")
+    out = out.withColumn("text", F.when(~F.col("__null"), F.col("text")))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], *[c for c in ("n_secrets",) if c not in docs.columns])
 
 
