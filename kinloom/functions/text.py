@@ -100,9 +100,11 @@ def strong_address(normal: Column, long: bool = False) -> Column:
 
 def char_grams(x: Column, n: int = 3) -> Column:
     """The set of windows of `n` letters and digits, across spaces."""
-    compact = F.regexp_replace(x, r"[^\p{L}\p{N}]", "")
-    windows = F.transform(F.sequence(F.lit(1), F.length(compact) - (n - 1)), lambda i: F.substring(compact, i, F.lit(n)))
-    return F.when(F.length(compact) >= n, F.array_distinct(windows)).otherwise(F.array().cast("array<string>"))
+    letters = F.regexp_extract_all(x, F.lit(r"[\p{L}\p{N}]"), F.lit(0))
+    window = lambda l: F.transform(F.sequence(F.lit(0), F.size(l) - n), lambda i: F.concat(*[F.get(l, i + k) for k in range(n)]))  # noqa: E731, E741
+    # A lambda variable is computed once for a row, an expression inside a lambda once for each window.
+    of = F.transform(F.array(letters), lambda l: F.when(F.size(l) >= n, F.array_distinct(window(l))).otherwise(F.array().cast("array<string>")))  # noqa: E741
+    return F.get(of, F.lit(0))
 
 
 def digits(x: Column) -> Column:

@@ -111,6 +111,24 @@ def top_gram_ceiling(pairs: DataFrame, s1_keys: DataFrame, target_keys: DataFram
     return met.agg(*[F.coalesce(n(F.col("rank") <= k), F.lit(0)).alias(f"c{k}") for k in range(1, most + 1)]).select(F.explode(rows).alias("r")).select("r.*")
 
 
+def gram_ceiling_grid(pairs: DataFrame, s1_keys: DataFrame, target_keys: DataFrame, limits: tuple[int, ...], most: int = 3) -> DataFrame:
+    """For each frequency limit and k = 1..most, pairs that meet on one of the record's k rarest grams within the limit.
+
+    A rank by frequency doesn't depend on the limit, so one ranking serves the grid.
+    """
+    grams = target_keys.filter(F.col("kind").isin("ngram", "agram"))
+    known = s1_keys.join(document_frequency(grams).filter(F.col("df") <= max(limits)), KEY)
+    rank = F.row_number().over(W.partitionBy("entity_id", "kind").orderBy("df", "key"))
+    ranked = known.withColumn("rank", rank).filter(F.col("rank") <= most)
+    low = true_shared(pairs, ranked, grams).select("sid", "tid", "rank", "df").distinct()
+    grid = F.explode(F.array(*[F.struct(F.lit(m).cast("bigint").alias("max_df"), F.lit(k).cast("bigint").alias("k")) for m in limits for k in range(1, most + 1)])).alias("g")
+    cells = low.select("*", grid).filter("df <= g.max_df AND rank <= g.k").select("g.max_df", "g.k", "sid", "tid")
+    found = cells.groupBy("max_df", "k").agg(F.countDistinct("sid", "tid").alias("recovered"))
+    # The grid itself comes from a one-row count, so that cells without a pair stay.
+    every = pairs.agg(F.count(F.lit(1)).alias("n")).select(grid).select("g.*")
+    return every.join(found, ["max_df", "k"], "left").fillna(0, ["recovered"])
+
+
 def by_threshold(s1: DataFrame, pairs: DataFrame, met: DataFrame, thresholds: tuple[int, ...]) -> DataFrame:
     """Candidates and recall when keys up to each threshold block.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from kinloom.functions.vocabulary import ADDRESS_LONG, ADDRESS_SHORT, LEGAL, LEGAL_SUFFIXES
 
-from .queries import BUDGETS, CFG, CURVE, LIMITS, THRESHOLDS
+from .queries import ADDRESS_WORDS, BUDGETS, CFG, CURVE, GRAM_LIMITS, LIMITS, SCORED, THRESHOLDS
 
 
 def n1(x: str) -> str:
@@ -25,8 +25,8 @@ def tokens(x: str) -> str:
 
 
 def grams(x: str) -> str:
-    c = rf"regexp_replace({x}, '[^\p{{L}}\p{{N}}]', '', 'g')"
-    return f"list_distinct(list_transform(range(1, length({c}) - 1), lambda i: substr({c}, i, 3)))"
+    letters = rf"regexp_extract_all({x}, '[\p{{L}}\p{{N}}]')"
+    return f"list_transform([{letters}], lambda l: list_distinct(list_transform(range(1, len(l) - 1), lambda i: l[i] || l[i + 1] || l[i + 2])))[1]"
 
 
 def digits(x: str) -> str:
@@ -43,7 +43,7 @@ W = CFG.weights
 
 PARTS = {
     "d": rf"""SELECT doc_id, lang AS country, substr(source, 4)::INT % 3 + 1 AS src, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS w, string_split({n1("text")}, ' ') AS nw FROM documents""",
-    "r": """SELECT 'S' || src || '-' || doc_id AS entity_id, src, country, array_to_string(w[1:6], ' ') AS business_name, coalesce(array_to_string(w[7:18], ' '), '') AS business_address,
+    "r": """SELECT 'S' || src || '-' || doc_id AS entity_id, src, country, array_to_string(w[1:6], ' ') AS business_name, coalesce(array_to_string(w[7:], ' '), '') AS business_address,
         array_to_string(list_slice(nw, greatest(len(nw) - 11, 1), len(nw)), ' ') AS tail FROM d""",
     "n": f"SELECT *, {n1('business_name')} AS old_name, {n1('business_address')} AS old_address FROM r",
     "e": f"""SELECT *, {joined(f"list_sort(list_distinct(list_filter({mapped('old_name', LEGAL)}, lambda t: t NOT IN ({SUFFIXES}))))")} AS core_name,
@@ -227,6 +227,10 @@ def _digit_jaccard(a: str, b: str) -> str:
     return f"CASE WHEN len({digits(a)}) = 0 AND len({digits(b)}) = 0 THEN -1.0::DOUBLE ELSE {jac(digits(a), digits(b))} END"
 
 
+_order = "md5('42|' || sid)"
+_COMBINED = """SELECT s1.entity_id AS source1_entity_id, coalesce(string_agg(sc.tid, ',' ORDER BY rnk), '') AS candidate_entity_ids, coalesce(string_agg(sc.tid, ',' ORDER BY rnk) FILTER (sc.score >= 0.5), '') AS matched_entity_ids
+    FROM s1 LEFT JOIN sc ON sc.sid = s1.entity_id GROUP BY s1.entity_id"""
+_SPLIT = f"SELECT sid FROM (SELECT sid, row_number() OVER (PARTITION BY s1.country, n_true ORDER BY {_order}, sid) AS place, count(*) OVER (PARTITION BY s1.country, n_true) AS size FROM g JOIN s1 ON s1.entity_id = g.sid) WHERE place <= round_even(size * 0.2::DOUBLE, 0)"
 _SCORES = {"n_set": "n_set", "n_sort": "n_sort", "n_ratio": "n_ratio", "a_set": "a_set", "a_sort": "a_sort", "a_ratio": "a_ratio", "len_n": _length_ratio("sn", "tn"), "len_a": _length_ratio("sa", "ta"), "block_score": "block_score"}
 _SCORES |= {"n_wratio": "n_wratio", "a_wratio": "a_wratio", "n_digit": _digit_jaccard("sn", "tn"), "a_digit": _digit_jaccard("sa", "ta")}
 _TOP = "SELECT sid, tid, block_score, rnk FROM top"
@@ -234,8 +238,6 @@ _MISSED = "SELECT p.sid, p.tid FROM p LEFT JOIN v2 USING (sid, tid) WHERE v2.sid
 _AT = ", ".join(f"sum(({c}::REAL >= {t})::INT)::BIGINT AS {c}_{t}" for c in ("n_set", "n_ratio", "a_set", "a_ratio") for t in (60, 80, 90))
 _T = f"{CFG.linear_threshold}::DOUBLE"
 
-_order = "md5('42|' || sid)"
-
 BODIES = {
     "norm_text": "SELECT entity_id, old_name, old_address FROM n",
     "norm_ascii": "SELECT entity_id, trim(regexp_replace(strip_accents(lower(business_name)), '[^a-z0-9]+', ' ', 'g')) AS name FROM r",
@@ -295,6 +297,17 @@ BODIES = {
     "class_balance": "SELECT (p.sid IS NOT NULL)::INT::DOUBLE AS label, count(*)::BIGINT AS n FROM top LEFT JOIN p USING (sid, tid) GROUP BY ALL",
     "split_stratified": f"SELECT sid, country, n_matches FROM (SELECT sid, s1.country, n_true AS n_matches, row_number() OVER (PARTITION BY s1.country, n_true ORDER BY {_order}, sid) AS place, count(*) OVER (PARTITION BY s1.country, n_true) AS size FROM g JOIN s1 ON s1.entity_id = g.sid) WHERE place <= round_even(size * 0.2::DOUBLE, 0)",
     "sample_rows": "SELECT entity_id FROM r ORDER BY md5('42|' || entity_id), entity_id LIMIT 50",
+    "scan_full": "SELECT entity_id, business_name, business_address, country, src::BIGINT AS src FROM r",
+    "pending_rows": "SELECT entity_id FROM s1 WHERE country IS DISTINCT FROM 'en'",
+    "combined_output": _COMBINED, "resumed_output": _COMBINED,
+    "output_totals": f"SELECT count(*)::BIGINT AS records, sum(len(list_filter(string_split(candidate_entity_ids, ','), lambda x: x <> '')))::BIGINT AS candidates, sum(len(list_filter(string_split(matched_entity_ids, ','), lambda x: x <> '')))::BIGINT AS matches FROM ({_COMBINED})",
+    "validation_rows": f"SELECT entity_id, country FROM s1 WHERE entity_id IN ({_SPLIT})",
+    "training_rows": f"SELECT entity_id, country FROM s1 WHERE entity_id NOT IN ({_SPLIT})",
+    "retained_targets": "SELECT entity_id, old_name FROM t WHERE entity_id IN (SELECT tid FROM top)",
+    "quantised_matches": "SELECT sid, tid, match_q FROM (SELECT sid, tid, least(greatest(round_even(score * 1000, 0), 0), 1000)::BIGINT AS match_q FROM sc) WHERE match_q >= 500",
+    "gram_ceiling_grid": f"""SELECT max_df, k, count(DISTINCT q.sid || '|' || q.tid)::BIGINT AS recovered FROM (SELECT unnest([{', '.join(map(str, GRAM_LIMITS))}])::BIGINT AS max_df) CROSS JOIN (SELECT unnest([1, 2, 3])::BIGINT AS k)
+        LEFT JOIN (SELECT sh.sid, sh.tid, g.df, g.rank FROM sh JOIN (SELECT k.entity_id AS sid, k.kind, k.country, k.key, df.df, row_number() OVER (PARTITION BY k.entity_id, k.kind ORDER BY df.df, k.key) AS rank
+          FROM k JOIN df USING (kind, country, key) WHERE k.src = 1 AND kind IN ('ngram', 'agram') AND df.df <= {max(GRAM_LIMITS)}) g USING (sid, kind, country, key)) q ON q.df <= max_df AND q.rank <= k GROUP BY max_df, k""",
     "fuzzy_features13": f"SELECT sid, tid, rnk::INT AS rnk, {', '.join(f'({x})::REAL AS {c}' for c, x in _SCORES.items())} FROM {fuzzy(_texts(_TOP), wratio=True)}",
     "linear_match_v2": f"SELECT sid, tid, name_score, address_score, match FROM {_linear(_block('exact', 'ntok', 'atok'))} WHERE match >= {_T}",
     "match_v4_topk": f"""SELECT sid, tid, match_q, block_score, row_number() OVER (PARTITION BY sid ORDER BY match_q DESC, block_score DESC, tid DESC)::INT AS rnk
@@ -308,4 +321,4 @@ BODIES = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: query(body) for name, body in BODIES.items()}
+    return {name: query(body).replace("w[7:]", f"w[7:{6 + ADDRESS_WORDS}]") if name in SCORED else query(body) for name, body in BODIES.items()}

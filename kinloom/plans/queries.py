@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from functools import cached_property
@@ -11,25 +12,26 @@ from pyspark.sql import functions as F
 
 from kinloom.config import FIXTURE
 from kinloom.functions import text as X
-from kinloom.operators import blocking, evaluate, features, model, ranking, reports, stats
+from kinloom.operators import blocking, evaluate, features, model, ranking, reports, sinks, stats
 from kinloom.operators.derive import blocking_keys, derive
-from kinloom.shared import cut
+from kinloom.shared import cut, shared_folder
 from kinloom.sources import records
 
 CFG = FIXTURE
 CURVE, LIMITS, BUDGETS = (1, 2, 5, 10, 50), (1, 2, 5), (3, 5, 10)
+GRAM_LIMITS = (5, 20, 50)
 THRESHOLDS = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 
 
 class View:
     """The fixture's tables, each defined once for a query."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, address_words: int | None = None):
+        self.spark, self.sf_dir, self.address_words = spark, sf_dir, address_words
 
     @cached_property
     def records(self) -> DataFrame:
-        return records.fixture(self.spark, self.sf_dir)
+        return records.fixture(self.spark, self.sf_dir, self.address_words)
 
     @cached_property
     def derived(self) -> DataFrame:
@@ -78,9 +80,10 @@ class View:
     @cached_property
     def jaccard_scored(self) -> DataFrame:
         """Top candidates with a score that SQL can state: 0.4 of names' and 0.6 of addresses' Jaccard."""
-        t = features.with_texts(self.top, self.s1, self.corpus)
-        of = lambda a, b: X.jaccard(X.tokens(F.col(a)), X.tokens(F.col(b)))
-        return t.select("sid", "tid", "rnk", F.round(of("s_name", "t_name") * 0.4 + of("s_addr", "t_addr") * 0.6, 6).alias("score"))
+        words = lambda x, i, p: x.select(F.col("entity_id").alias(i), X.tokens(F.col("old_name")).alias(f"{p}n"), X.tokens(F.col("old_address")).alias(f"{p}a"))
+        # Words are cut once a record, and not once a pair.
+        t = self.top.join(words(self.s1, "sid", "s"), "sid").join(words(self.corpus, "tid", "t"), "tid")
+        return t.select("sid", "tid", "rnk", F.round(X.jaccard(F.col("sn"), F.col("tn")) * 0.4 + X.jaccard(F.col("sa"), F.col("ta")) * 0.6, 6).alias("score"))
 
 
 def listed(c: Column) -> Column:
@@ -208,11 +211,10 @@ def candidate_counts(kind: str) -> Callable[[View], DataFrame]:
     return lambda v: _candidate_counts(v, kind)
 
 
-def matches_lookup(v: View) -> DataFrame:
-    """The first matched source 1 record by id, with its matches' fields."""
-    one = v.pairs.agg(F.min("sid").alias("sid"))  # one row
-    mine = v.pairs.join(F.broadcast(one), "sid", "left_semi").distinct()
-    return mine.join(v.stored.select(F.col("entity_id").alias("tid"), "business_name", "business_address", "country"), "tid")
+def matches_lookup(v: View, sid: str | None = None) -> DataFrame:
+    """A source 1 record's matches with their fields; without an id, those of the first matched record by id."""
+    own = v.pairs.filter(F.col("sid") == sid) if sid else v.pairs.join(F.broadcast(v.pairs.agg(F.min("sid").alias("sid"))), "sid", "left_semi")  # one row
+    return own.distinct().join(v.stored.select(F.col("entity_id").alias("tid"), "business_name", "business_address", "country"), "tid")
 
 
 def _candidate_counts(v: View, kind: str) -> DataFrame:
@@ -268,6 +270,61 @@ def topk_by_match(v: View) -> DataFrame:
     return ranked.select("sid", "tid", F.col("match_q").cast("bigint").alias("match_q"), F.col("rnk").cast("bigint").alias("rnk"))
 
 
+def scan_full(v: View) -> DataFrame:
+    return v.records.select("entity_id", "business_name", "business_address", "country", F.col("src").cast("bigint").alias("src"))
+
+
+def pending_rows(v: View) -> DataFrame:
+    """What a run has to do after one that wrote the records of one country."""
+    done = v.s1.filter("country = 'en'").select(F.col("entity_id").alias("source1_entity_id"))
+    return sinks.pending(v.s1, done).select("entity_id")
+
+
+def combined_output(v: View) -> DataFrame:
+    return sinks.combined(v.s1, v.jaccard_scored, 0.5, "score")
+
+
+def output_totals(v: View) -> DataFrame:
+    return sinks.totals(combined_output(v))
+
+
+def resumed_output(v: View) -> DataFrame:
+    """The combined table after a run that was lost with one country's records written, and one that went on."""
+    path = f"{shared_folder(v.spark)}/resumed-{uuid.uuid4().hex}"
+    first = v.s1.filter("country = 'en'")
+    sinks.combined(first, v.jaccard_scored.join(first.select(F.col("entity_id").alias("sid")), "sid", "left_semi"), 0.5, "score").write.parquet(path)
+    left = sinks.pending(v.s1, sinks.written(v.spark, path))
+    sinks.combined(left, v.jaccard_scored.join(left.select(F.col("entity_id").alias("sid")), "sid", "left_semi"), 0.5, "score").write.mode("append").parquet(path)
+    return v.spark.read.parquet(path)
+
+
+def _validation(v: View) -> DataFrame:
+    return split_stratified(v).select(F.col("sid").alias("entity_id"))
+
+
+def validation_rows(v: View) -> DataFrame:
+    return v.s1.join(_validation(v), "entity_id", "left_semi").select("entity_id", "country")
+
+
+def training_rows(v: View) -> DataFrame:
+    return v.s1.join(_validation(v), "entity_id", "left_anti").select("entity_id", "country")
+
+
+def retained_targets(v: View) -> DataFrame:
+    """The target records that any source 1 record retains."""
+    return v.corpus.join(v.top.select(F.col("tid").alias("entity_id")), "entity_id", "left_semi").select("entity_id", "old_name")
+
+
+def quantised_matches(v: View) -> DataFrame:
+    """Pairs whose score in thousandths reaches the threshold in thousandths."""
+    q = X.quantised(F.col("score")).cast("bigint")
+    return v.jaccard_scored.select("sid", "tid", q.alias("match_q")).filter("match_q >= 500")
+
+
+def gram_ceiling_grid(v: View) -> DataFrame:
+    return reports.gram_ceiling_grid(v.pairs, *v.keys("ngram", "agram"), GRAM_LIMITS)
+
+
 def class_balance(v: View) -> DataFrame:
     return model.labelled(v.top, v.pairs).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
@@ -339,9 +396,16 @@ VIEWS: dict[str, Callable[[View], DataFrame]] = {
     "digit_jaccard_feat": pair_features, "len_ratio_feat": length_features, "eval_macro_f05": eval_macro_f05, "threshold_sweep": threshold_sweep, "best_threshold": best_threshold,
     "matched_output": matched_output, "topk_by_match": topk_by_match, "score_histogram": lambda v: reports.histogram(v.jaccard_scored, v.pairs, "score"), "class_balance": class_balance,
     "split_stratified": split_stratified, "sample_rows": sample_rows,
+    "scan_full": scan_full, "pending_rows": pending_rows, "combined_output": combined_output, "output_totals": output_totals, "resumed_output": resumed_output, "validation_rows": validation_rows, "training_rows": training_rows,
+    "retained_targets": retained_targets, "quantised_matches": quantised_matches, "gram_ceiling_grid": gram_ceiling_grid,
     "fuzzy_features13": fuzzy_features13, "linear_match_v2": linear_match_v2, "match_v4_topk": match_v4_topk, "gbt_scored": gbt_scored, "fuzzy_ceiling": fuzzy_ceiling, "error_examples": error_examples,
 }
 
 
+#: Queries that score pairs character by character, whose work grows with the product of two fields' lengths: their addresses are 12 words.
+SCORED = ("fuzzy_features13", "linear_match_v2", "match_v4_topk", "gbt_scored", "fuzzy_ceiling", "error_examples")
+ADDRESS_WORDS = 12
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, f=f: f(View(spark, sf_dir))) for name, f in VIEWS.items()}
+    return {name: (lambda spark, sf_dir, f=f, n=ADDRESS_WORDS if name in SCORED else None: f(View(spark, sf_dir, n))) for name, f in VIEWS.items()}

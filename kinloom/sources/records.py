@@ -58,8 +58,12 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
     return read_tsv(spark, path, TRUTH)
 
 
-def fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`documents` as records of three sources, with `tail` for the truth."""
+def fixture(spark: SparkSession, sf_dir: str, address_words: int | None = None) -> DataFrame:
+    """`documents` as records of three sources, with `tail` for the truth.
+
+    The first six words are the name, all words after them the address; or so many
+    of them, where the queries score addresses as the short fields that they are.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
     w = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
     docs = docs.select("doc_id", "lang", (F.substring("source", 4, 9).cast("int") % 3 + 1).alias("src"), w.alias("w"), normalize_text(F.col("text")).alias("norm"))
@@ -67,7 +71,7 @@ def fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(
         F.concat(F.lit("S"), F.col("src").cast("string"), F.lit("-"), F.col("doc_id").cast("string")).alias("entity_id"),
         F.array_join(F.slice("w", 1, 6), " ").alias("business_name"),
-        F.array_join(F.slice("w", 7, 12), " ").alias("business_address"),
+        F.array_join(F.slice("w", F.lit(7), F.greatest(F.size("w") - 6, F.lit(0)) if address_words is None else F.lit(address_words)), " ").alias("business_address"),
         F.col("lang").alias("country"), "src",
         F.array_join(F.slice(last, F.greatest(F.size(last) - 11, F.lit(1)), F.lit(12)), " ").alias("tail"),
     )
