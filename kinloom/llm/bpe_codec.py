@@ -35,7 +35,7 @@ from .batches import kept_until_left, map_texts
 from .common import table
 
 #: Known words a process keeps, nodes of its trie, and pairs of tokens whose validity it keeps.
-WORDS_KEPT, NODES_KEPT, PAIRS_KEPT = 500_000, 900_000, 200_000
+WORDS_KEPT, NODES_KEPT, PAIRS_KEPT = 300_000, 450_000, 150_000
 NEVER = 1 << 60
 #: Below this code point, lower case and composed, Python and the library agree on letters and numbers.
 PLAIN_BELOW = "ɐ"
