@@ -29,7 +29,9 @@ the lesser of both numbers; cells below their bound go before any product.
 Steps of blocks accumulate. The blocks are multiplied in `steps` steps; each adds
 the overlap in its blocks, and a cell goes when what it has and what the later blocks
 can still give are below its bound. Texts are fetched once, for rows with a cell or
-in a long column.
+in a long column. Cells are multiplied in passes over the rows, and what a part of the
+work has dealt out goes before the next begins, so disk holds the sets once and a share
+of what the cells take along.
 Nothing is capped or sampled: every pair that can link is linked or already
 connected when the last step ends.
 
@@ -47,6 +49,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -81,6 +84,10 @@ class Join:
     passes: int = 3
     #: Ids of texts to fetch are broadcast if they were counted and are no more than this (16 bytes each); else texts and ids are dealt out.
     broadcast_ids: int = 100_000
+    #: Cells are multiplied in passes of at most this share of their rows' shingles, or of so many shingles if that is more; in `most_passes` at most.
+    pass_share: float = 0.5
+    pass_shingles: int = 8_000_000
+    most_passes: int = 16
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -209,11 +216,40 @@ def bounded(pairs: DataFrame, reps: DataFrame, how: Join) -> DataFrame:
     return both.filter(reached(F.col("left")[0], how)).select("a", "b", "na", "nb", "left")
 
 
+def n_passes(cells: DataFrame, how: Join) -> int:
+    """In how many passes cells are multiplied: a cell takes its row a's set along, and there may be many more cells than rows."""
+    ends = cells.select(F.explode(F.array(F.struct(F.col("a").alias("rep"), F.col("na").alias("n")), F.struct(F.col("b").alias("rep"), F.col("nb").alias("n")))).alias("e"))
+    taken = cells.agg(F.sum("na")).first()[0] or 0
+    held = ends.select("e.*").distinct().agg(F.sum("n")).first()[0] or 0
+    return min(how.most_passes, max(1, math.ceil(taken / max(how.pass_share * held, how.pass_shingles))))
+
+
 def multiplied(cells: DataFrame, sets: DataFrame, how: Join) -> DataFrame:
     """The cells (a, b) whose overlap, accumulated step by step, reaches its bound.
 
+    They are multiplied in passes, each over its share of the rows a, so that only a share of the sets that are
+    dealt out is on disk at once.
+    """
+    out, n = None, n_passes(cells, how)
+    for k in range(n):
+        part = cut(product(cells.filter(F.pmod(F.xxhash64("a"), F.lit(n)) == k), sets, how))
+        out = part if out is None else out.unionByName(part)
+        release(cells.sparkSession)
+    return out
+
+
+def among(sets: DataFrame, wanted: DataFrame, how: Join) -> DataFrame:
+    """The rows of `sets` that `wanted` (rep) names; few ids are broadcast, so that other sets aren't dealt out."""
+    ids = cut(wanted.distinct())
+    return sets.join(F.broadcast(ids) if ids.count() <= how.broadcast_ids else ids, "rep", "left_semi")
+
+
+def product(cells: DataFrame, sets: DataFrame, how: Join) -> DataFrame:
+    """The cells (a, b) whose overlap reaches its bound.
+
     A step's blocks are multiplied only while the cell's bound is in reach.
     """
+    sets = among(sets, cells.select(F.explode(F.array("a", "b")).alias("rep")), how)
     mine, theirs = (sets.select(F.col("rep").alias(x), F.col("steps").alias(f"s{x}")) for x in "ab")
     both = cells.join(mine, "a").join(theirs, "b")
     step = lambda so_far, x: F.when(reached(so_far + x["left"], how), so_far + F.size(F.array_intersect(x["sa"], x["sb"]))).otherwise(F.lit(-1).cast("bigint"))
@@ -239,7 +275,7 @@ def met(rows: DataFrame, how: Join) -> DataFrame:
 
 def rarest_first(rows: DataFrame, sets: DataFrame, how: Join) -> DataFrame:
     """Pairs that the prefixes by exact counts among `rows` (rep, n, component; distinct) leave."""
-    entries = cut(rows.join(sets, "rep").select("rep", "n", "component", F.explode(F.flatten("steps")).alias("s")))
+    entries = cut(rows.join(among(sets, rows.select("rep"), how), "rep").select("rep", "n", "component", F.explode(F.flatten("steps")).alias("s")))
     often = cut(entries.groupBy("s").agg(F.count(F.lit(1)).alias("df")))
     ordered = entries.join(often, "s").groupBy("rep", "n", "component").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("es"))
     first = F.slice("es", F.lit(1), (F.col("n") - F.ceil(F.col("n") * how.p / how.q) + 1).cast("int"))
@@ -325,16 +361,21 @@ def linked(docs: DataFrame, how: Join = Join()) -> DataFrame:
     few = shared.filter(F.col("rows") <= how.small_block).withColumn("component", F.col("rep"))
     many = pivoted(shared.filter(F.col("rows") > how.small_block))
     cells = cut(bounded(met(few, how).union(starred(many, how)).distinct(), reps, how))
+    # Of all rows, only those of long columns may be bounded again; prefixes and shared columns have done their work.
+    reps = cut(reps.select("rep", "n", "sizes").join(many.select("rep").distinct(), "rep", "left_semi"))
+    del shared, few
+    release(spark)
     sets = fetched(docs, one, cells.select(F.explode(F.array("a", "b")).alias("rep")).union(many.select("rep")), how)
-    links = cut(multiplied(cells, sets, how))
-    del shared, few, cells
+    release(spark)  # the texts that were dealt out go before sets are
+    links = multiplied(cells, sets, how)
+    del cells
     release(spark)
     rest = unfinished(many, links)
     if not rest.isEmpty():
-        pairs = rarest_first(rest, sets, how)
-        cells = cut(bounded(pairs.distinct(), reps, how))
+        cells = cut(bounded(rarest_first(rest, sets, how).distinct(), reps, how))
+        release(spark)
         links = cut(links.union(multiplied(cells, sets, how)))
-        del pairs, cells
+        del cells
     del sets
     del many, rest, reps
     release(spark)
