@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from kinloom.operators import blocking, reports
+from kinloom.operators import reports
 from kinloom.plans import queries as Q
 
 from test_many_copies import COLUMNS, Counted, Plain, documents, rows
