@@ -5,6 +5,8 @@ Ids must be distinct and not null.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,6 +20,7 @@ BLOCK = 1024
 #: Tasks that blocks are dealt to at least. Blocks are small and their pairs many, so they aren't put together by their size.
 TASKS = 400
 MATCHED = "sid string, tid string, name_score double, address_score double, match double"
+BEST = "sid string, tid string, match_q int, constant double"
 
 
 def named(derived: DataFrame, cfg: ErConfig) -> DataFrame:
@@ -82,3 +85,33 @@ def matched(s: DataFrame, t: DataFrame, cfg: ErConfig) -> DataFrame:
     keep = lambda x: x.select("id", "country", "exact", "name", "address")
     group = F.when(F.col("exact").isNotNull(), F.struct("country", "exact"))
     return blocks(keep(s), keep(t), group).applyInArrow(run, MATCHED)
+
+
+def best_matches(s: DataFrame, t: DataFrame, cfg: ErConfig) -> DataFrame:
+    """(sid, tid, match_q, constant): of pairs that share a constant key, at least each sid's best `cfg.top_k` by match, what constant keys add, and target id.
+
+    A block gives its own best. Pairs of equal exact or core names are in one group: its core name, or the name where that is empty.
+    """
+    w = {"exact": cfg.weights.exact, "core": cfg.weights.core, "addr": cfg.weights.addr}
+    name_weight, address_weight, top = cfg.name_weight, cfg.address_weight, cfg.top_k
+
+    def run(block: pa.Table) -> pa.Table:
+        x, y = _sides(block)
+        match = _score(block, "name", x, y) * name_weight + _score(block, "address", x, y) * address_weight
+        q = np.clip(np.rint(match * 1000), 0, 1000).astype(np.int64)
+        constant = np.zeros(q.shape)
+        for kind, weight in w.items():
+            codes = block[kind].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+            constant += weight * ((codes[x][:, None] == codes[y][None, :]) & (codes[x] >= 0)[:, None])
+        ids = block["id"].combine_chunks()
+        order = np.empty(len(y), np.int64)
+        order[np.argsort(np.array([i.encode() for i in ids.take(pa.array(y)).to_pylist()], object))] = np.arange(len(y))
+        levels, level = np.unique(constant, return_inverse=True)
+        place = (q * len(levels) + level.reshape(q.shape)) * len(y) + order
+        best = np.argpartition(place, -top, axis=1)[:, -top:] if top < len(y) else np.broadcast_to(np.arange(len(y)), q.shape)
+        i, j = np.repeat(np.arange(len(x)), best.shape[1]), best.ravel()
+        return pa.table({"sid": ids.take(pa.array(x[i])), "tid": ids.take(pa.array(y[j])), "match_q": q[i, j].astype(np.int32), "constant": constant[i, j]})
+
+    groups = (F.struct("country", F.coalesce("core", "exact").alias("key"), F.col("core").isNull().alias("of")), F.coalesce("core", "exact")), (F.struct("country", F.col("addr").alias("key")), F.col("addr"))
+    found = [blocks(s, t, F.when(some.isNotNull(), group)).applyInArrow(run, BEST) for group, some in groups]
+    return reduce(DataFrame.unionByName, found)
