@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from kinloom.config import ErConfig
 from kinloom.functions.grid import token_set_grid
+from kinloom.shared import cut
+
+from . import blocking
 
 #: Records of either side in a block: two blocks meet at once.
 BLOCK = 1024
@@ -53,6 +56,30 @@ def blocks(s: DataFrame, t: DataFrame, group: Column) -> DataFrame:
     return dealt(x.withColumn("mine", F.lit(True)).unionByName(y.withColumn("mine", F.lit(False)))).groupBy("group", "a", "b")
 
 
+def every_pair(s: DataFrame, t: DataFrame, rare: DataFrame, cfg: ErConfig) -> DataFrame:
+    """(sid, tid, block_score): every pair that shares a constant key or is in `rare` (`blocking.rare_shared`); s, t: `blocking.constants` with `id`.
+
+    A pair of a constant key goes straight from the join to the result: its score is one of eight numbers, and it is formed
+    in its names' group or else in its addresses'. Pairs of rare keys, too few to matter, are summed up and left out there.
+    """
+    own = lambda x: x.withColumn("named", F.coalesce(F.concat(F.lit("c"), "core"), F.concat(F.lit("e"), "exact")))
+    s, t = cut(own(s)), cut(own(t))
+    summed = cut(blocking.summed(rare, s.withColumnRenamed("id", "sid"), t.withColumnRenamed("id", "tid"), cfg))
+    less = summed.filter("constant > 0").groupBy(F.col("sid").alias("id")).agg(F.collect_list("tid").alias("less"))
+    s = s.join(less, "id", "left")
+    w = cfg.weights
+    scores = F.array(*[F.round(F.lit(w.exact * e) + F.lit(w.core * c) + F.lit(w.addr * a), 6) for e in (0, 1) for c in (0, 1) for a in (0, 1)])
+    same = lambda k: F.coalesce(F.col(f"x.{k}") == F.col(f"y.{k}"), F.lit(False))
+    place = sum((F.when(same(k), n).otherwise(0) for k, n in (("exact", 4), ("core", 2))), F.when(same("addr"), 1).otherwise(0))
+    out = [summed.select("sid", "tid", "block_score")]
+    for key, once in (("named", F.lit(True)), ("addr", ~same("named"))):
+        x, y = (dealt(side) for side in sides(s, t, F.when(F.col(key).isNotNull(), F.struct("country", key))))
+        met = x.alias("x").join(y.alias("y"), ["group", "a", "b"])
+        met = met.filter(once & (F.col("less").isNull() | ~F.array_contains("less", F.col("y.id"))))
+        out.append(met.select(F.col("x.id").alias("sid"), F.col("y.id").alias("tid"), F.get(scores, place).alias("block_score")))
+    return reduce(DataFrame.unionByName, out)
+
+
 def _texts(column: pa.ChunkedArray, side: np.ndarray) -> tuple[list[str], np.ndarray]:
     """The different texts of one side, and each row's place among them."""
     of = column.combine_chunks().take(pa.array(side)).dictionary_encode()
