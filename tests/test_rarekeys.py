@@ -64,3 +64,10 @@ def test_many_countries_take_no_more_memory():
     for _, row, code, keys in rarekeys._sets(batch):
         at, of = rarekeys._different(place[row] * len(keys) + code)
         assert len(at) <= len(of) == len(row) and len(countries) == n
+
+
+def test_one_row_group_is_worked_on_by_all_cores(spark, tmp_path):
+    spark.createDataFrame(documents(300), COLUMNS).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    v = Q.View(spark, str(tmp_path))
+    assert v.stored.groupBy(F.spark_partition_id()).count().count() > spark.sparkContext.defaultParallelism
+    assert rows(v.stored) == rows(v.derived.select(*v.stored.columns))
