@@ -71,3 +71,11 @@ def test_one_row_group_is_worked_on_by_all_cores(spark, tmp_path):
     v = Q.View(spark, str(tmp_path))
     assert v.stored.groupBy(F.spark_partition_id()).count().count() > spark.sparkContext.defaultParallelism
     assert rows(v.stored) == rows(v.derived.select(*v.stored.columns))
+
+
+def test_texts_as_they_were_are_stored_only_where_they_are_read(spark, folder):
+    v = Q.View(spark, folder)
+    v.top  # noqa: B018
+    assert not {"business_name", "business_address"} & set(v.stored.columns)
+    looked = Q.matches_lookup(Q.View(spark, folder))
+    assert {"business_name", "business_address"} <= set(looked.columns) and not looked.isEmpty()
